@@ -1,0 +1,87 @@
+"""Joins and folds on positioned boxes. Every join has (doc_id, page) among its keys, so none is a nested loop."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+
+def nearest(labels: DataFrame, values: DataFrame, keys: list[str], dx: int, dy: int) -> DataFrame:
+    """For each label box the value box with the least 3 |dy| + |dx|, then the earliest; columns l_ and v_."""
+    left = labels.select(*keys, *(F.col(c).alias(f"l_{c}") for c in labels.columns if c not in keys))
+    right = values.select(*keys, *(F.col(c).alias(f"v_{c}") for c in values.columns if c not in keys))
+    met = left.join(right, keys).where((F.abs(F.col("v_top") - F.col("l_top")) <= dy) & (F.abs(F.col("v_left") - F.col("l_left")) <= dx))
+    score = 3 * F.abs(F.col("v_top") - F.col("l_top")) + F.abs(F.col("v_left") - F.col("l_left"))
+    best = F.min(F.struct(score.alias("score"), F.col("v_ln").alias("ln"), F.col("v_pos").alias("pos"), F.col("v_text").alias("text"))).alias("v")
+    return met.groupBy(*keys, "l_ln", "l_pos", "l_text").agg(best)
+
+
+def midpoints(boxes: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """lo and hi of each column: half-way to its neighbours, open at both ends."""
+    w = W.partitionBy(*keys).orderBy(x)
+    return boxes.withColumn("lo", (F.lag(x).over(w) + F.col(x)) / 2).withColumn("hi", (F.lead(x).over(w) + F.col(x)) / 2)
+
+
+def between(x: Column, lo: Column, hi: Column) -> Column:
+    return (lo.isNull() | (x >= lo)) & (hi.isNull() | (x < hi))
+
+
+def islands(rows: DataFrame, keys: list[str], at: Column, order: list[str], gap: int) -> DataFrame:
+    """rows with grp: a new group begins where the step from the row before exceeds the gap."""
+    w = W.partitionBy(*keys).orderBy(*order)
+    began = F.coalesce((at - F.lag(at).over(w) > gap).cast("int"), F.lit(0))
+    return rows.withColumn("_b", began).withColumn("grp", F.sum("_b").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_b")
+
+
+def kept_apart(sorted_places: Column, gap: int) -> Column:
+    """Greedy: a place stays if it is further than the gap from the last that stayed."""
+    none = F.expr("cast(array() as array<bigint>)")
+    return F.aggregate(sorted_places, none, lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > gap), F.concat(a, F.array(x))).otherwise(a))
+
+
+def overlap(a: str, b: str) -> Column:
+    """Whether two rectangles, given by prefixes, share an area."""
+    right, low = (lambda p: F.col(f"{p}left") + F.col(f"{p}width")), (lambda p: F.col(f"{p}top") + F.col(f"{p}height"))
+    return (F.col(f"{a}left") < right(b)) & (F.col(f"{b}left") < right(a)) & (F.col(f"{a}top") < low(b)) & (F.col(f"{b}top") < low(a))
+
+
+def row_clusters(boxes: DataFrame, tolerance: float = 18.0) -> DataFrame:
+    """Exact greedy rows of a page: by top, each box joins the closest row with a member centre within the tolerance, else opens one.
+
+    The order of boxes matters, so a page is one group of a Pandas function; pages are small."""
+
+    def cluster(page):
+        page = page.sort_values(["top", "left", "ln", "pos"])
+        rows: list[list[float]] = []
+        out = []
+        for y in (page["top"] + page["height"] / 2).tolist():
+            apart = [(min(abs(y - m) for m in r), k) for k, r in enumerate(rows)]
+            best = min((a for a in apart if a[0] <= tolerance), default=None)
+            if best is None:
+                rows.append([])
+                best = (0, len(rows) - 1)
+            rows[best[1]].append(y)
+            out.append(best[1])
+        return page.assign(row=out)[["doc_id", "page", "ln", "pos", "text", "row"]]
+
+    return boxes.groupBy("doc_id", "page").applyInPandas(cluster, "doc_id long, page int, ln int, pos int, text string, row int")
+
+
+def same_ink(boxes: DataFrame, share: float = 0.6) -> DataFrame:
+    """Greedy, by confidence then length: a box stays unless it covers more than the share of one that stayed."""
+
+    def pick(page):
+        page = page.assign(n=page["text"].str.len()).sort_values(["confidence", "n", "ln", "pos"], ascending=[False, False, True, True])
+        box = page[["left", "top", "width", "height"]].to_numpy(float)
+        kept, flags = np.empty_like(box), []
+        for left, top, width, height in box:
+            a, b, c, d = kept[: sum(flags)].T
+            shared = np.clip(np.minimum(left + width, a + c) - np.maximum(left, a), 0, None) * np.clip(np.minimum(top + height, b + d) - np.maximum(top, b), 0, None)
+            flags.append(not (shared > share * np.minimum(width * height, c * d)).any())
+            if flags[-1]:
+                kept[sum(flags) - 1] = left, top, width, height
+        return page.assign(kept=flags)[["doc_id", "page", "ln", "pos", "text", "kept"]]
+
+    return boxes.groupBy("doc_id", "page").applyInPandas(pick, "doc_id long, page int, ln int, pos int, text string, kept boolean")

@@ -1,10 +1,8 @@
-"""Queries by name and their SQL twins."""
+"""All queries by name, and their SQL twins."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from boxwise.plans import box_queries, check_queries, corpus_queries, merge_queries
+from boxwise.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "box_queries", "check_queries", "corpus_queries", "merge_queries"]
