@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -175,6 +176,16 @@ def test_quality(spark, docs, sf_dir):
     assert len(odd) == len(ODD) and all(r["score"] == 0.5 for r in odd)
 
 
+def test_quality_of_held_out_rows(spark):
+    """On rows that were never learnt from, good documents score above bad ones; the larger table has enough of them."""
+    where = "/root/testdata/sf0.1"
+    docs, labels = table(spark, where, "documents"), table(spark, where, "labels")
+    got = fm_quality.judged(docs, labels).where("held_out").join(labels.select("doc_id", "quality"), "doc_id").collect()
+    good, bad = [r["score"] for r in got if r["quality"] == 1], [r["score"] for r in got if r["quality"] == 0]
+    assert len(good) > 100 and len(bad) > 100
+    assert np.mean([g > b for g in good for b in bad]) > 0.9
+
+
 def test_sum_of_squares():
     rng = np.random.default_rng(1)
     m = fm_quality.Model(0.3, rng.normal(size=fm_quality.WIDTH), rng.normal(size=(fm_quality.WIDTH, fm_quality.RANK)))
@@ -348,6 +359,19 @@ def test_interleave(spark, docs):
     assert sorted(map(tuple, interleave.interleaved(docs).collect())) == sorted(map(tuple, interleave.interleaved(docs.repartition(5)).collect()))
 
 
+@pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_same_as_sql(spark, name, size):
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"create view {t} as select * from '/root/testdata/{size}/{t}.parquet'")
+    got, wanted = Q.QUERIES[name](spark, f"/root/testdata/{size}"), con.execute(Q.ORACLE_SQL[name])
+    names = sorted(got.columns)
+    assert names == sorted(c[0] for c in wanted.description)
+    order = [[c[0] for c in wanted.description].index(n) for n in names]
+    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == Counter(tuple(r[k] for k in order) for r in wanted.fetchall())
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
