@@ -119,3 +119,15 @@ def compatible(c: Column) -> Column:
 def same_number(a: Column, b: Column, tolerance: float) -> Column:
     """Both known and no further apart than the tolerance."""
     return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
+
+
+def close_number(a: Column, b: Column, least: int = 2, share: int = 200) -> Column:
+    """Both known and no further apart than the least or than one part in so many of b, whichever is more."""
+    return F.coalesce(F.abs(a - b) * share <= F.greatest(F.lit(least * share), F.abs(b)), F.lit(False))
+
+
+def draft_json(c: Column, schema: str) -> Column:
+    """The one JSON object that a text is, with or without a code fence; null for any other text, and for text before or after it."""
+    body = F.regexp_replace(F.trim(c), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
+    got = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{schema}>", {"mode": "PERMISSIVE"})
+    return F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & (F.size(got) == 1), F.get(got, F.lit(0)))

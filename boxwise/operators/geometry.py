@@ -85,3 +85,41 @@ def same_ink(boxes: DataFrame, share: float = 0.6) -> DataFrame:
         return page.assign(kept=flags)[["doc_id", "page", "ln", "pos", "text", "kept"]]
 
     return boxes.groupBy("doc_id", "page").applyInPandas(pick, "doc_id long, page int, ln int, pos int, text string, kept boolean")
+
+
+def stacked(upper: DataFrame, lower: DataFrame, keys: list[str], down: int, aside: int) -> DataFrame:
+    """Boxes of upper with one of lower under them: less than down below, less than aside to either side.
+
+    Tops are cut into bands of that height, so the band is a key of the join too."""
+    band = F.floor(F.col("top") / down)
+    right = lower.select(*keys, F.col("top").alias("_t"), F.col("left").alias("_l"), F.explode(F.array(band, band - 1)).alias("_band"))
+    left = upper.withColumn("_band", band)
+    dy = right["_t"] - left["top"]
+    on = [left[k] == right[k] for k in [*keys, "_band"]] + [(dy > 0) & (dy < down) & (F.abs(right["_l"] - left["left"]) < aside)]
+    return left.join(right, on, "left_semi").drop("_band")
+
+
+def first_label(labels: DataFrame, values: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """For each field its first label with any value in reach (4 |dy| + |dx|), and there the value on the same line, else the closest."""
+    left = labels.select(*keys, F.col("text").alias("field"), *(F.col(c).alias(f"l_{c}") for c in ("ln", "pos", "left", "top")))
+    right = values.select(*keys, *(F.col(c).alias(f"v_{c}") for c in ("text", "ln", "pos", "left", "top")))
+    apart = 4 * F.abs(F.col("v_top") - F.col("l_top")) + F.abs(F.col("v_left") - F.col("l_left"))
+    order = F.struct("l_ln", "l_pos", (F.col("v_ln") != F.col("l_ln")).cast("int").alias("off"), apart.alias("apart"), "v_ln", "v_pos", F.col("v_text").alias("value"))
+    return left.join(right, keys).where(apart <= reach).groupBy(*keys, "field").agg(F.min(order).alias("v"))
+
+
+def rotated(left: Column, top: Column, width: Column, height: Column, page_width: Column, page_height: Column, turn: Column) -> dict[str, Column]:
+    """A box after its page was turned clockwise by 0, 90, 180 or 270 degrees."""
+    by = lambda none, quarter, half, back: F.when(turn == 90, quarter).when(turn == 180, half).when(turn == 270, back).otherwise(none)
+    right, low = page_width - left - width, page_height - top - height
+    return {"left": by(left, low, right, top), "top": by(top, left, low, right), "width": by(width, height, width, height), "height": by(height, width, height, width)}
+
+
+def clamped(c: Column, extent: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(c, extent))
+
+
+def bidirectional(rtl: Column, left: Column, text: Column) -> Column:
+    """Texts of a group joined in reading order: left-to-right ones by their left edge, then right-to-left ones from the right."""
+    held = F.array_sort(F.collect_list(F.struct(rtl.alias("r"), F.when(rtl, -left).otherwise(left).alias("k"), text.alias("t"))))
+    return F.array_join(F.transform(held, lambda h: h["t"]), " ")
