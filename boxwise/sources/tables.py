@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -53,3 +53,9 @@ def middle(boxes: DataFrame) -> DataFrame:
 def numbered(boxes: DataFrame) -> DataFrame:
     """Reading order within a document, from 1."""
     return boxes.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "ln", "pos")))
+
+
+def upright(polygon: str) -> list[Column]:
+    """left, top, width and height of a polygon column (array of [x, y]); nulls for none or an empty one."""
+    x, y = (F.transform(polygon, lambda p, k=k: F.get(p, F.lit(k))) for k in (0, 1))
+    return [F.array_min(x).alias("left"), F.array_min(y).alias("top"), (F.array_max(x) - F.array_min(x)).alias("width"), (F.array_max(y) - F.array_min(y)).alias("height")]

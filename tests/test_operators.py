@@ -1,15 +1,19 @@
 import itertools
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from boxwise.functions import scalars as S
+from boxwise.functions.scalars import draft_json
 from boxwise.functions.words import arabic_hundredths, english_hundredths
+from boxwise.operators.audits import dominant, lost_rows, reviews
 from boxwise.operators.checks import complete_sum, plausible, row_mode, upper_median
 from boxwise.operators.corpus import schema_faults, unfinished
-from boxwise.operators.geometry import row_clusters
-from boxwise.sources.tables import payload_boxes
+from boxwise.operators.geometry import rotated, row_clusters, stacked
+from boxwise.sources.sinks import response, write_jsonl
+from boxwise.sources.tables import payload_boxes, upright
 from boxwise.streaming.files import payload_stream, write_once
 
 
@@ -94,3 +98,53 @@ def test_resume_and_schema(spark):
     assert schema_faults(s, [("id", "int"), ("sha", "string")]) == []
     assert schema_faults(s, [("sha", "string"), ("id", "int")]) == ["order"]
     assert schema_faults(s, [("id", "bigint"), ("x", "int")]) == ["missing x", "extra sha", "id is int, not bigint"]
+
+
+def test_draft_json(spark):
+    texts = ['{"a": 1}', '```json\n{"a": 1}\n```', '```\n{"a": 1}\n```', '{"a": 1} {"a": 2}', '{"a": 1}, {"a": 2}', '{"a": 1} done {}', "[1]", "", None, '{"a": ', '  {"a": 1}  ']
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = {r["k"]: r["d"] for r in df.select("k", draft_json(F.col("t"), "struct<a: int>").alias("d")).collect()}
+    assert {k for k, d in got.items() if d is not None and d["a"] == 1} == {0, 1, 2, 10}
+    assert all(d is None or d["a"] is not None for d in got.values())
+
+
+def test_lost_rows_and_stacked_against_brute_force(spark):
+    rng = random.Random(4)
+    before, after = ([(rng.randrange(4), rng.randrange(-30, 30)) for _ in range(60)] for _ in range(2))
+    a, b = (spark.createDataFrame(x, "k long, p long") for x in (before, after))
+    for tolerance in (0, 1, 3):
+        wanted = sorted(x for x in before if not any(x[0] == y[0] and abs(x[1] - y[1]) <= tolerance for y in after))
+        assert sorted(map(tuple, lost_rows(a, b, ["k"], "p", tolerance).collect())) == wanted
+    boxes = [(rng.randrange(2), rng.randrange(100), rng.randrange(100)) for _ in range(80)]
+    df = spark.createDataFrame(boxes, "doc_id long, top long, left long")
+    wanted = sorted(x for x in boxes if any(x[0] == y[0] and 0 < y[1] - x[1] < 12 and abs(x[2] - y[2]) < 9 for y in boxes))
+    assert sorted(map(tuple, stacked(df, df, ["doc_id"], 12, 9).collect())) == wanted
+
+
+def test_turning_back(spark):
+    """A quarter turn and three more give the box back."""
+    df = spark.createDataFrame([(10, 20, 30, 5)], "left long, top long, width long, height long")
+    w, h = 200, 100
+    for _ in range(4):
+        df = df.select(*(c.alias(n) for n, c in rotated(*(F.col(c) for c in ("left", "top", "width", "height")), F.lit(w), F.lit(h), F.lit(90)).items()))
+        w, h = h, w
+    assert tuple(df.first()) == (10, 20, 30, 5)
+
+
+def test_sinks_and_polygons(spark, tmp_path):
+    rows = spark.createDataFrame([("train", "a", 1.5), ("test", None, float("nan"))], "split string, name string, total double")
+    write_jsonl(rows, f"file://{tmp_path}/out", "split")
+    back = spark.read.schema("split string, name string, total double").json(f"file://{tmp_path}/out")
+    assert sorted(map(tuple, back.select("split", "name", "total").collect()), key=str) == sorted([("train", "a", 1.5), ("test", None, None)], key=str)
+    text = [r[0] for r in rows.select(response(F.col("name").isNotNull(), F.lit("NO_NAME"), name=F.col("name"))).collect()]
+    assert [json.loads(t) for t in text] == [{"success": True, "error": None, "name": "a"}, {"success": False, "error": "NO_NAME", "name": None}]
+    shapes = spark.createDataFrame([([[3.0, 1.0], [7.0, 2.0], [5.0, 9.0]],), ([],), (None,)], "polygon array<array<double>>")
+    assert [tuple(r) for r in shapes.select(*upright("polygon")).collect()] == [(3, 1, 4, 8), (None,) * 4, (None,) * 4]
+
+
+def test_vote_and_reviews(spark):
+    rows = spark.createDataFrame([(1, "a", 8), (1, "b", 2), (2, "a", 5), (2, "b", 5), (3, None, 1)], "k long, v string, w long")
+    assert {r["k"]: r["dominant"] for r in dominant(rows, ["k"], "v", F.col("w"), 80).collect()} == {1: "a", 2: None, 3: None}
+    got = {r["k"]: (r["n"], r["reasons"]) for r in reviews(rows, ["k"], low=F.col("w") < 3, none=F.col("v").isNull()).collect()}
+    assert got == {1: (1, "low"), 3: (2, "low,none")}
+    assert reviews(rows.limit(0), ["k"], low=F.col("w") < 3).count() == 0
