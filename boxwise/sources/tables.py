@@ -57,5 +57,5 @@ def numbered(boxes: DataFrame) -> DataFrame:
 
 def upright(polygon: str) -> list[Column]:
     """left, top, width and height of a polygon column (array of [x, y]); nulls for none or an empty one."""
-    x, y = (F.transform(polygon, lambda p, k=k: F.get(p, F.lit(k))) for k in (0, 1))
+    x, y = F.transform(polygon, lambda p: F.get(p, F.lit(0))), F.transform(polygon, lambda p: F.get(p, F.lit(1)))
     return [F.array_min(x).alias("left"), F.array_min(y).alias("top"), (F.array_max(x) - F.array_min(x)).alias("width"), (F.array_max(y) - F.array_min(y)).alias("height")]
