@@ -69,7 +69,7 @@ def turned_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     extent = F.lit(20_000)
     to = rotated(F.col("left"), F.col("top") % 800, F.col("width"), F.lit(20), extent, F.lit(800), (F.col("doc_id") % 4) * 90)
     at = lambda c: clamped(to[c], extent).cast("long")
-    return boxes(spark, sf_dir).select("doc_id", F.col("ln").cast("long").alias("ln"), F.col("pos").cast("long").alias("pos"), at("left").alias("x0"), at("top").alias("y0"), to["width"].cast("long").alias("w"), to["height"].cast("long").alias("h"))
+    return boxes(spark, sf_dir, keyed=False).select("doc_id", F.col("ln").cast("long").alias("ln"), F.col("pos").cast("long").alias("pos"), at("left").alias("x0"), at("top").alias("y0"), to["width"].cast("long").alias("w"), to["height"].cast("long").alias("h"))
 
 
 @query("""WITH f AS (SELECT o_orderkey AS k, (o_orderkey * 1009 + 100000)::VARCHAR AS whole, 90 + o_orderkey % 10 AS conf FROM orders),

@@ -14,8 +14,12 @@ from boxwise.plans.registry import query
 from boxwise.sources.tables import table, text_boxes
 
 
-def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text_boxes(table(spark, sf_dir, "documents"))
+def boxes(spark: SparkSession, sf_dir: str, keyed: bool = True) -> DataFrame:
+    """Boxes of all documents. Keyed ones are made after the texts were dealt by document: groups and windows over a
+    document or its parts then shuffle no boxes (which take several times the room of the text), and the sides of a
+    self-join share one scan."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return text_boxes(docs.repartition("doc_id") if keyed else docs)
 
 
 BOXES = """WITH lines AS (SELECT doc_id, unnest(range(len(s))) AS ln, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
@@ -36,7 +40,7 @@ def _typed(df: DataFrame) -> DataFrame:
 
 @query(BOXES + "SELECT * FROM boxes")
 def doc_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _typed(boxes(spark, sf_dir))
+    return _typed(boxes(spark, sf_dir, keyed=False))
 
 
 @query(BOXES + """SELECT doc_id, page, count(*) AS n, median(w) AS mid, list_sort(list(w))[CAST(floor(count(*) / 2) AS INT) + 1] AS upper, CAST(min(conf) AS BIGINT) AS least, CAST(sum(conf) AS BIGINT) AS total, count_if(conf >= 80) AS sure FROM boxes GROUP BY 1, 2""")

@@ -13,7 +13,7 @@ from boxwise.operators.checks import complete_sum, plausible, row_mode, upper_me
 from boxwise.operators.corpus import schema_faults, unfinished
 from boxwise.operators.geometry import rotated, row_clusters, stacked
 from boxwise.sources.sinks import response, write_jsonl
-from boxwise.sources.tables import payload_boxes, upright
+from boxwise.sources.tables import payload_boxes, running_places, upright
 from boxwise.streaming.files import payload_stream, write_once
 
 
@@ -148,3 +148,11 @@ def test_vote_and_reviews(spark):
     got = {r["k"]: (r["n"], r["reasons"]) for r in reviews(rows, ["k"], low=F.col("w") < 3, none=F.col("v").isNull()).collect()}
     assert got == {1: (1, "low"), 3: (2, "low,none")}
     assert reviews(rows.limit(0), ["k"], low=F.col("w") < 3).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 15, 16, 17, 33, 300, 2001])
+def test_running_places_of_short_and_long_lines(spark, n):
+    words = [("é" if k % 3 else "word") * (1 + k % 4) for k in range(n)]
+    want = [sum(len(w) + 1 for w in words[:k]) for k in range(n)]
+    df = spark.createDataFrame([(words,)], "words array<string>")
+    assert df.select(running_places("words").alias("x")).first()["x"] == want
