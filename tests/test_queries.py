@@ -43,5 +43,5 @@ def test_every_query_has_sql():
 
 
 def test_no_nested_loops(spark, sf_dir):
-    for name in ("nearest_label_value", "column_bucket_assign", "spatial_dedup", "region_overlap", "receipt_region_filter"):
+    for name in ("nearest_label_value", "column_bucket_assign", "spatial_dedup", "region_overlap", "receipt_region_filter", "column_cells", "row_words", "footer_candidates"):
         assert "NestedLoop" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString(), name
