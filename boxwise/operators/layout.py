@@ -72,3 +72,41 @@ def label_match(text: Column, aliases: list[str]) -> tuple[Column, Column]:
         alias = F.when(begins | ends, a).otherwise(alias)
         rest = F.when(begins, F.substr(text, F.lit(len(a) + 1))).when(ends, F.substr(text, F.lit(1), F.length(text) - len(a))).otherwise(rest)
     return alias, rest
+
+
+def eligible_pages(boxes: DataFrame, keys: list[str], extent: int, words: int = 4, letters: int = 40) -> DataFrame:
+    """keys, n, alnum and eligible: a page counts as text if it has enough words and letters, and no word leaves the page or is unreadable."""
+    alnum = F.sum(F.length(F.regexp_replace("text", "[^0-9A-Za-z]", ""))).alias("alnum")
+    faulty = F.count_if((F.col("left") + F.col("width") > extent) | F.contains(F.col("text"), F.lit("�"))).alias("_bad")
+    pages = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), alnum, faulty)
+    return pages.withColumn("eligible", (F.col("n") >= words) & (F.col("alnum") >= letters) & (F.col("_bad") == 0)).drop("_bad")
+
+
+def best_template(text: Column, templates: dict[str, list[str]], per_cent: int = 45) -> Column:
+    """Name of the template with the greatest share of its labels inside the text, the first of equals; null under the least share."""
+    name, best = F.lit(None).cast("string"), F.lit(per_cent - 1)
+    for own, labels in templates.items():
+        share = F.floor(sum((F.contains(text, F.lit(s)).cast("int") for s in labels), F.lit(0)) * 100 / len(labels)).cast("int")
+        name, best = F.when(share > best, own).otherwise(name), F.when(share > best, share).otherwise(best)
+    return name
+
+
+def composed(parts: list[Column], least: int = 2) -> Column:
+    """The parts that are there, in order, comma-joined; null if they are too few."""
+    held = F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != ""))
+    return F.when(F.size(held) >= least, F.array_join(held, ", "))
+
+
+def orientation(predicted: Column, per_cent: Column, least: int = 90) -> tuple[Column, Column]:
+    """The turn to apply, and why: only a quarter turn that is sure enough applies."""
+    known = F.coalesce(predicted.isin(0, 90, 180, 270), F.lit(False))
+    sure = F.coalesce(per_cent >= least, F.lit(False))
+    why = F.when(~known, "unknown").when(~sure, "unsure").when(predicted == 0, "upright").otherwise("turned")
+    return F.when(known & sure, predicted).otherwise(0), why
+
+
+def labelled(text: Column, follower: Column) -> tuple[Column, Column]:
+    """label and value of a word that holds a colon: what follows it in the word, else the next word."""
+    label = F.regexp_extract(text, "^([A-Za-z]+):", 1)
+    tail = F.regexp_extract(text, "^[A-Za-z]+:(.*)$", 1)
+    return label, F.when(tail != "", tail).otherwise(follower)

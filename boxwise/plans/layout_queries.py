@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from boxwise.operators.geometry import between
-from boxwise.operators.layout import anchor_bands, column_of, label_match, last_wins, matched_or_largest, promoted, runs, with_peer
+from boxwise.operators.layout import anchor_bands, best_template, column_of, composed, eligible_pages, label_match, labelled, last_wins, matched_or_largest, orientation, promoted, runs, with_peer
 from boxwise.operators.merges import uncovered
 from boxwise.plans.box_queries import BOXES, KEY, LABEL, boxes
 from boxwise.plans.check_queries import ITEMS, PRINTED, items, printed
@@ -16,6 +16,7 @@ from boxwise.sources.tables import table
 
 GATES = {"view": 70, "click": 75, "purchase": 80, "error": 85}
 ALIASES = ["t", "th", "the", "er"]
+TEMPLATES = {"english": [" the ", " of ", " and ", " that "], "german": [" der ", " die ", " und ", " das "], "spanish": [" el ", " la ", " de ", " que "]}
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -135,3 +136,65 @@ def sweep_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     cents = F.round(F.col("value") * 100).cast("long")
     m = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("run")).agg(F.count_if(cents % 100 != 0).alias("decimals"), F.sum(cents).alias("total"), F.count("*").alias("n"))
     return m.withColumn("rank", F.row_number().over(W.partitionBy().orderBy(F.desc("decimals"), F.desc("total"), F.desc("n"), "run")).cast("long"))
+
+
+@query(BOXES + """SELECT doc_id, page, count(*) AS n, CAST(sum(length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'))) AS BIGINT) AS alnum, count(*) >= 4 AND sum(length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g'))) >= 40 AND count(*) FILTER (WHERE x + w > 4000 OR contains(text, chr(65533))) = 0 AS eligible FROM boxes GROUP BY 1, 2""")
+def page_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return eligible_pages(boxes(spark, sf_dir), KEY, 4000)
+
+
+@query("""WITH m AS (SELECT doc_id, contains(s, ' the ')::INT + contains(s, ' of ')::INT + contains(s, ' and ')::INT + contains(s, ' that ')::INT AS e, contains(s, ' der ')::INT + contains(s, ' die ')::INT + contains(s, ' und ')::INT + contains(s, ' das ')::INT AS g,
+ contains(s, ' el ')::INT + contains(s, ' la ')::INT + contains(s, ' de ')::INT + contains(s, ' que ')::INT AS p FROM (SELECT doc_id, lower(text) AS s FROM documents))
+SELECT doc_id, CASE WHEN greatest(e, g, p) < 2 THEN NULL WHEN e >= g AND e >= p THEN 'english' WHEN g >= p THEN 'german' ELSE 'spanish' END AS template FROM m""")
+def template_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", best_template(F.lower("text"), TEMPLATES).alias("template"))
+
+
+@query("""WITH p AS (SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS a, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment WHEN c_custkey % 8 = 0 THEN '' END AS b, CASE WHEN c_custkey % 5 <> 0 THEN n_name END AS c FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT c_custkey, CASE WHEN (a IS NOT NULL)::INT + (coalesce(b, '') <> '')::INT + (c IS NOT NULL)::INT >= 2 THEN concat_ws(', ', a, nullif(b, ''), c) END AS address FROM p""")
+def composed_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    parts = [F.when(k % 3 != 0, F.col("c_name")), F.when(k % 4 != 0, F.col("c_mktsegment")).when(k % 8 == 0, ""), F.when(k % 5 != 0, F.col("n_name"))]
+    met = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.select("c_custkey", composed(parts).alias("address"))
+
+
+@query("""WITH o AS (SELECT event_id, CASE WHEN event_id % 9 <> 0 THEN 90 * (event_id % 5) END AS t, (7 * event_id) % 100 AS c FROM events)
+SELECT event_id, CASE WHEN t IN (0, 90, 180, 270) AND c >= 90 THEN t ELSE 0 END AS turn, CASE WHEN t IS NULL OR t NOT IN (0, 90, 180, 270) THEN 'unknown' WHEN c < 90 THEN 'unsure' WHEN t = 0 THEN 'upright' ELSE 'turned' END AS why FROM o""")
+def orientation_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    turn, why = orientation(F.when(k % 9 != 0, 90 * (k % 5)), (7 * k) % 100)
+    return table(spark, sf_dir, "events").select("event_id", turn.alias("turn"), why.alias("why"))
+
+
+@query(BOXES + """, c AS (SELECT doc_id, ln, pos, CASE WHEN length(text) = 3 THEN text || ':' WHEN length(text) >= 12 THEN substr(text, 1, 4) || ':' || substr(text, 5) ELSE text END AS text FROM boxes),
+n AS (SELECT *, lead(text) OVER (PARTITION BY doc_id, ln ORDER BY pos) AS follower FROM c)
+SELECT doc_id, ln, pos, regexp_extract(text, '^([A-Za-z]+):', 1) AS label, coalesce(nullif(regexp_extract(text, '^[A-Za-z]+:(.*)$', 1), ''), follower) AS value FROM n WHERE regexp_matches(text, '^[A-Za-z]+:')""")
+def label_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand behind a colon, in the same word or the next. The texts hold no colons, so a rule puts them in."""
+    colon = F.expr("case when length(text) = 3 then text || ':' when length(text) >= 12 then substr(text, 1, 4) || ':' || substr(text, 5) else text end")
+    b = _placed(boxes(spark, sf_dir)).withColumn("text", colon).withColumn("follower", F.lead("text").over(W.partitionBy("doc_id", "ln").orderBy("pos")))
+    label, value = labelled(F.col("text"), F.col("follower"))
+    return b.where(F.col("text").rlike("^[A-Za-z]+:")).select("doc_id", "ln", "pos", label.alias("label"), value.alias("value"))
+
+
+@query(BOXES + """, h AS (SELECT doc_id, page, x AS hx, text AS heading FROM boxes WHERE ln % 40 = 0 AND length(text) >= 8), f AS (SELECT doc_id, ln FROM boxes WHERE pos = 0 AND length(text) <= 4 AND ln % 40 > 0),
+m AS (SELECT b.doc_id, b.page, b.ln, b.pos, b.text, h.heading, h.hx, abs(b.x - h.hx) AS d FROM boxes b JOIN f ON b.doc_id = f.doc_id AND b.ln = f.ln JOIN h ON b.doc_id = h.doc_id AND b.page = h.page WHERE b.pos > 0),
+t AS (SELECT *, min(d) OVER (PARTITION BY doc_id, ln, pos) AS near FROM m), c AS (SELECT doc_id, ln, pos, max(text) AS text, max(heading) AS heading, max(hx) AS hx, max(d) AS d FROM t WHERE d = near GROUP BY 1, 2, 3 HAVING count(*) = 1 AND max(d) <= 60)
+SELECT doc_id, ln, hx, max(heading) AS heading, max(text) AS value FROM c GROUP BY 1, 2, 3 HAVING count(*) = 1""")
+def total_row_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one value that a total's row holds under each heading of its page; nothing where two stand there."""
+    b = _placed(boxes(spark, sf_dir))
+    first = F.first("text").over(W.partitionBy("doc_id", "ln").orderBy("pos"))
+    cells = b.withColumn("_first", first).where((F.length("_first") <= 4) & F.expr("ln % 40 > 0 and pos > 0"))
+    heads = b.where("ln % 40 = 0 and length(text) >= 8").select(*KEY, F.col("text").alias("heading"), F.col("x").alias("head_x"))
+    met = column_of(cells, heads, KEY, "x", 60, 0)
+    return met.groupBy("doc_id", "ln", F.col("head_x").alias("hx")).agg(F.count("*").alias("c"), F.max("heading").alias("heading"), F.max("text").alias("value")).where("c = 1").drop("c")
+
+
+@query(ITEMS + """SELECT l_orderkey, count(*) AS n_items, string_agg(n || ':' || partkey || 'x' || coalesce(CAST(q AS VARCHAR), '?'), ';' ORDER BY n, partkey, q NULLS FIRST) AS lines FROM items GROUP BY 1""")
+def nested_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of an order as one list by line, then part, then quantity, unknown ones first."""
+    held = F.array_sort(F.collect_list(F.struct("n", "partkey", "q")))
+    shown = F.transform(held, lambda r: F.concat(r["n"].cast("string"), F.lit(":"), r["partkey"].cast("string"), F.lit("x"), F.coalesce(r["q"].cast("string"), F.lit("?"))))
+    return items(spark, sf_dir).groupBy("l_orderkey").agg(F.count("*").alias("n_items"), F.array_join(shown, ";").alias("lines"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from boxwise.operators.layout import anchor_bands, column_of, label_match, last_wins, matched_or_largest, promoted, runs, with_peer
+from boxwise.operators.layout import anchor_bands, best_template, column_of, composed, eligible_pages, label_match, labelled, last_wins, matched_or_largest, orientation, promoted, runs, with_peer
 
 
 def test_column_of_leaves_out_ties_and_far_cells(spark):
@@ -49,3 +49,22 @@ def test_label_match_prefers_the_longest_alias(spark):
     rows = spark.createDataFrame([("total vat",), ("vat no 5",), ("5 vat",), ("none",), (None,)], "t string")
     alias, rest = label_match(F.col("t"), ["vat", "vat no", "total"])
     assert [tuple(r) for r in rows.select(alias, rest).collect()] == [("total", " vat"), ("vat no", " 5"), ("vat", "5 "), (None, None), (None, None)]
+
+
+def test_eligible_pages_templates_addresses_and_turns(spark):
+    text = "a" * 12
+    rows = [(1, text, 0, 10)] * 4 + [(2, text, 0, 10)] * 3 + [(3, text, 0, 10)] * 3 + [(3, text + "�", 0, 10)] + [(4, text, 95, 10)] * 4
+    got = eligible_pages(spark.createDataFrame(rows, "p int, text string, left int, width int"), ["p"], 100).collect()
+    assert {r["p"]: r["eligible"] for r in got} == {1: True, 2: False, 3: False, 4: False}
+    one = {"x": ["a", "b"], "y": ["b", "c"]}
+    texts = spark.createDataFrame([("a b",), ("b",), ("b c",), ("",), (None,)], "t string")
+    assert [r[0] for r in texts.select(best_template(F.col("t"), one)).collect()] == ["x", "x", "y", None, None]
+    parts = spark.createDataFrame([("a", None, "c"), ("a", "", None), (None, None, None)], "a string, b string, c string")
+    assert [r[0] for r in parts.select(composed([F.col(c) for c in "abc"])).collect()] == ["a, c", None, None]
+    turns = spark.createDataFrame([(90, 90), (90, 89), (0, 99), (45, 99), (None, 99), (180, None)], "t int, c int")
+    assert [tuple(r) for r in turns.select(*orientation(F.col("t"), F.col("c"))).collect()] == [(90, "turned"), (0, "unsure"), (0, "upright"), (0, "unknown"), (0, "unknown"), (0, "unsure")]
+
+
+def test_labelled_takes_the_tail_or_the_follower(spark):
+    rows = spark.createDataFrame([("No:7", "x"), ("No:", "x"), ("No:", None), ("none", "x")], "t string, f string")
+    assert [tuple(r) for r in rows.select(*labelled(F.col("t"), F.col("f"))).collect()] == [("No", "7"), ("No", "x"), ("No", None), ("", "x")]
