@@ -1,0 +1,49 @@
+"""The training-data operators do their whole job: counts and placements that an earlier cut would miss."""
+
+import re
+from collections import defaultdict
+
+import numpy as np
+
+from boxwise.llm import chunk_dedup
+
+DOC = "doc_id long, text string"
+
+
+# 7
+def runs(text: str, n: int = 51) -> list[tuple[bytes, int, int]]:
+    data = text.encode()
+    at = [(m.start(), m.end()) for m in re.finditer(rb"[^ \n\t\r]+", data)]
+    return [(data[a:b], a, b) for (a, _), (_, b) in zip(at, at[n - 1 :])]
+
+
+def test_every_repeat_of_over_50_words_is_found(spark):
+    """Passages of 49 to 70 words at random places, of short and long words and odd gaps, against all runs of 51 words."""
+    rng = np.random.default_rng(4)
+    letters = list("abcdefghij") + ["é", "ß", "語", "😀"]
+
+    def prose(n, longest):
+        words = ("".join(rng.choice(letters, rng.integers(1, longest + 1))) for _ in range(n))
+        return "".join(w + g for w, g in zip(words, rng.choice([" ", " ", " ", "\n", "  "], n)))
+
+    rows = []
+    for k in range(1500):
+        longest = int(rng.choice([1, 3, 9, 14]))
+        passage = prose(int(rng.choice([49, 50, 51, 51, 52, 55, 60, 70])), longest)
+        rows += [(2 * k + j, prose(rng.integers(0, 60), longest) + passage + prose(rng.integers(0, 60), longest)) for j in (0, 1)]
+    rows += [(4000, "a " * 200), (4001, "b " + "a " * 60), (4002, "c " * 50), (4003, "c " * 50)]
+    owners = defaultdict(set)
+    for i, text in rows:
+        for run, _, _ in runs(text):
+            owners[run].add(i)
+    wanted = {}
+    for i, text in rows:
+        own = [(min(owners[r]), a, b) for r, a, b in runs(text) if len(owners[r]) > 1]
+        if own:
+            held = np.zeros(len(text.encode()), bool)
+            for _, a, b in own:
+                held[a:b] = True
+            wanted[i] = (sorted({f for f, _, _ in own}), len(own), int(held.sum()))
+    got = {r["doc_id"]: (r["first_doc_ids"], r["n_passages"], r["dup_bytes"]) for r in chunk_dedup.repeated_passages(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(wanted) > 2000
+    assert got == wanted
