@@ -28,6 +28,18 @@ def between(x: Column, lo: Column, hi: Column) -> Column:
     return (lo.isNull() | (x >= lo)) & (hi.isNull() | (x < hi))
 
 
+def in_interval(cells: DataFrame, bounds: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """cells with the columns of the one interval of midpoints() that holds x; cells without any go.
+
+    Cells and lower bounds are put in one order and each cell takes the last bound up to it, so no pair is made."""
+    inner = lambda df: F.struct(*(c for c in df.columns if c not in keys))
+    low = bounds.select(*keys, F.col("lo").cast("double").alias("_at"), F.lit(0).alias("_cell"), inner(bounds).alias("_held"))
+    own = cells.where(F.col(x).isNotNull()).select(*keys, F.col(x).cast("double").alias("_at"), F.lit(1).alias("_cell"), inner(cells).alias("_own"))
+    w = W.partitionBy(*keys).orderBy(F.col("_at").asc_nulls_first(), "_cell").rowsBetween(W.unboundedPreceding, 0)
+    both = low.unionByName(own, allowMissingColumns=True).withColumn("_held", F.last("_held", ignorenulls=True).over(w))
+    return both.where("_cell = 1 and _held is not null").select(*keys, "_own.*", "_held.*")
+
+
 def islands(rows: DataFrame, keys: list[str], at: Column, order: list[str], gap: int) -> DataFrame:
     """rows with grp: a new group begins where the step from the row before exceeds the gap."""
     w = W.partitionBy(*keys).orderBy(*order)

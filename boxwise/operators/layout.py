@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from boxwise.operators.geometry import between, islands, midpoints
+from boxwise.operators.geometry import in_interval, islands, midpoints
 from boxwise.operators.merges import unique_by
 
 
@@ -14,12 +14,12 @@ def column_of(cells: DataFrame, heads: DataFrame, keys: list[str], x: str, least
     """cells with the head_x and the columns of the one heading that is strictly closest and near enough.
 
     Near enough is the greater of least and a share of the heading's distance to its closest neighbour; a cell half-way
-    between two headings has none. Strictly closest means inside the midpoints, so one interval join does."""
+    between two headings has none. Strictly closest means inside the midpoints, so one ordered pass does."""
     w = W.partitionBy(*keys).orderBy("head_x")
     gap = F.least(F.col("head_x") - F.lag("head_x").over(w), F.lead("head_x").over(w) - F.col("head_x"))
     near = F.greatest(F.lit(least), F.floor(F.coalesce(gap, F.lit(100_000)) * per_cent / 100))
     bounds = midpoints(heads.withColumn("_near", near), keys, "head_x")
-    met = cells.join(bounds, keys).where(between(F.col(x), F.col("lo"), F.col("hi")) & (F.abs(F.col(x) - F.col("head_x")) <= F.col("_near")))
+    met = in_interval(cells, bounds, keys, x).where(F.abs(F.col(x) - F.col("head_x")) <= F.col("_near"))
     return met.where(F.col("lo").isNull() | (F.col(x) > F.col("lo"))).drop("lo", "hi", "_near")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window as W
 
 from boxwise.functions.scalars import digits_of_length, phrase_in, typed
 from boxwise.operators.checks import upper_median
-from boxwise.operators.geometry import between, islands, kept_apart, midpoints, nearest, overlap, row_clusters, same_ink
+from boxwise.operators.geometry import in_interval, islands, kept_apart, midpoints, nearest, overlap, row_clusters, same_ink
 from boxwise.operators.merges import uncovered
 from boxwise.plans.registry import query
 from boxwise.sources.tables import table, text_boxes
@@ -82,8 +82,8 @@ def column_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT b.doc_id, b.ln, b.pos, h.col FROM boxes b JOIN heads h ON b.doc_id = h.doc_id AND b.page = h.page AND (h.lo IS NULL OR b.x >= h.lo) AND (h.hi IS NULL OR b.x < h.hi) WHERE b.ln % 40 BETWEEN 1 AND 3""")
 def column_bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _typed(boxes(spark, sf_dir))
-    heads = midpoints(b.where("ln % 40 = 0 and pos < 8"), KEY, "x").select(*KEY, F.col("pos").alias("col"), "lo", "hi")
-    return b.where("ln % 40 between 1 and 3").join(heads, KEY).where(between(F.col("x"), F.col("lo"), F.col("hi"))).select("doc_id", "ln", "pos", "col")
+    heads = midpoints(b.where("ln % 40 = 0"), KEY, "x").select(*KEY, F.col("pos").alias("col"), "lo")
+    return in_interval(b.where("ln % 40 > 0").select(*KEY, "ln", "pos", "x"), heads, KEY, "x").select("doc_id", "ln", "pos", "col")
 
 
 @query(BOXES + f""", m AS (SELECT l.doc_id, l.page, l.ln, l.pos, l.text, 3 * abs(v.y - l.y) + abs(v.x - l.x) AS score, v.ln AS vl, v.pos AS vp, v.text AS value FROM boxes l JOIN boxes v ON l.doc_id = v.doc_id AND l.page = v.page

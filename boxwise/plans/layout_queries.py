@@ -29,10 +29,10 @@ m AS (SELECT b.doc_id, b.ln, b.pos, g.col, gap, abs(b.x - hx) AS d FROM boxes b
 t AS (SELECT *, min(d) OVER (PARTITION BY doc_id, ln, pos) AS near FROM m)
 SELECT doc_id, ln, pos, max(col) AS col, max(d) AS d FROM t WHERE d = near GROUP BY 1, 2, 3 HAVING count(*) = 1 AND max(d) <= greatest(15, max(gap) * 58 // 100)""")
 def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of the first lines of a page under the heading word that is strictly closest and near enough."""
+    """Words below the first line of a page under the heading word that is strictly closest and near enough."""
     b = _placed(boxes(spark, sf_dir))
-    heads = b.where("ln % 40 = 0 and pos < 8").select(*KEY, F.col("pos").alias("col"), F.col("x").alias("head_x"))
-    got = column_of(b.where("ln % 40 between 1 and 3").drop("col"), heads, KEY, "x", 15, 58)
+    heads = b.where("ln % 40 = 0").select(*KEY, F.col("pos").alias("col"), F.col("x").alias("head_x"))
+    got = column_of(b.where("ln % 40 > 0").drop("col"), heads, KEY, "x", 15, 58)
     return got.select("doc_id", "ln", "pos", "col", F.abs(F.col("x") - F.col("head_x")).alias("d"))
 
 
