@@ -68,3 +68,12 @@ def test_every_word_may_have_a_cell(spark, small_dir, texts):
     wanted = under_headings(texts, cell)
     assert max(c for _, _, _, c, _ in wanted) > 8 and len({ln % 40 for _, ln, *_ in wanted}) == 39
     assert got(spark, small_dir, "column_cells", "doc_id", "ln", "pos", "col", "d") == wanted
+
+
+def test_every_line_has_boundaries(spark, small_dir, texts):
+    rows = boxes(texts)
+    x = {(d, ln, pos): x for d, _, ln, pos, _, x, _ in rows}
+    half = lambda a, b: None if a is None or b is None else (a + b) / 2
+    wanted = [(*k, half(x.get((*k[:2], k[2] - 1)), v), half(x.get((*k[:2], k[2] + 1)), v)) for k, v in x.items()]
+    found = QUERIES["column_boundaries"](spark, small_dir).select("doc_id", "ln", "pos", "lo", "hi").collect()
+    assert {tuple(r) for r in found} == set(wanted) and len(found) == len(wanted)
