@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import cut, small, text_blocks
+from boxwise.llm.common import cut, row_key, text_blocks, without
 from boxwise.llm.shingles import WORDS, WORD, words
 
 THRESHOLD, CONTAINMENT, QUESTION, ANSWER = 0.6, 0.8, 0.7, 0.5
@@ -164,6 +164,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; rows without an id are judged by their id too, so they stay."""
-    lost = cut(leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(small(lost), "doc_id", "left_anti").select(docs.columns)
+    """The documents that hold no benchmark item; rows without an id are judged one by one."""
+    return without(docs, cut(leaks(docs.withColumn("doc_id", row_key()), benchmark).select("doc_id").distinct(), "leaks"))

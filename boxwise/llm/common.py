@@ -74,5 +74,21 @@ def text_blocks(batches: Iterable, text: int = 1, limit: int = BLOCK_BYTES) -> I
             at = end
 
 
+def unnamed(hashed: Column) -> Column:
+    """A number for what has no id of its own, from a hash, above all ids below 2^62."""
+    return F.lit(1 << 62) + hashed.bitwiseAND((1 << 62) - 1)
+
+
+def row_key() -> Column:
+    """The id of a document; for one without, a number that follows from its text, so equal texts share it."""
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed(F.xxhash64(or_empty(F.col("text").cast("string")))))
+
+
+def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs without the rows whose row_key() is among the doc_id of lost; the columns stay as they are."""
+    gone = lost.select(F.col("doc_id").alias("_row"))
+    return docs.withColumn("_row", row_key()).join(small(gone), "_row", "left_anti").select(docs.columns)
+
+
 def or_empty(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))

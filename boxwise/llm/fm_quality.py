@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import cut, small, text_blocks
+from boxwise.llm.common import cut, row_key, text_blocks, without
 
 #: Bound on the labelled rows that are learnt from.
 TRAIN_ROWS = 6000
@@ -182,6 +182,7 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject; of an id with several rows all go if one is rejected."""
-    lost = cut(judged(docs, labels).where("predicted = 0 and doc_id is not null").select("doc_id").distinct(), "rejected")
-    return docs.join(small(lost), "doc_id", "left_anti").select(docs.columns)
+    """The documents that the model does not reject; of an id with several rows all go if one is rejected. Rows without an id
+    are judged one by one."""
+    scored = score(docs.withColumn("doc_id", row_key()), fit(docs, labels))
+    return without(docs, cut(scored.where(F.col("score") < KEEP).select("doc_id").distinct(), "rejected"))

@@ -7,7 +7,7 @@ a task returns the number of links of each text and a spanning forest of the lin
 
 Edge cases: a null text is an empty text; texts without words are alike only if equal; fewer than five words make one
 padded shingle; an id may repeat, with the same or another text; a class whose texts have no id of their own is named by a
-negative number; an empty table gives an empty result; other columns are ignored, whatever their names."""
+number of 2^62 or more; an empty table gives an empty result; other columns are ignored, whatever their names."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from boxwise.llm.common import cut, small, text_blocks
+from boxwise.llm.common import cut, row_key, small, text_blocks, unnamed, without
 from boxwise.llm.components import connected_components
 from boxwise.llm.shingles import WordHashes, bands_for, intersections, minhash_bands, shingles
 
@@ -117,7 +117,7 @@ def jaccard_classes(docs: DataFrame, rows: int = ROWS, recall: float = RECALL, b
     signed = cut(signatures(docs, rows, recall), "signatures")
     texts = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.max("n_shingles").alias("n_shingles"), F.max(F.struct("bands")).alias("b"))
     taken = F.row_number().over(W.partitionBy("rep").orderBy("digest")) > 1
-    named = F.when(F.col("rep").isNull() | taken, -1 - F.xxhash64("digest").bitwiseAND((1 << 62) - 1)).otherwise(F.col("rep"))
+    named = F.when(F.col("rep").isNull() | taken, unnamed(F.xxhash64("digest"))).otherwise(F.col("rep"))
     nodes = cut(texts.select("digest", "rep", named.alias("node"), "n_copies", "n_shingles", "b.bands"), "texts")
     met = nodes.select("node", F.explode("bands").alias("band"))
     hubs = met.groupBy("band").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "hub")
@@ -138,19 +138,21 @@ def jaccard_classes(docs: DataFrame, rows: int = ROWS, recall: float = RECALL, b
     return signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def _one_row_an_id(docs: DataFrame) -> DataFrame:
-    """Of rows that repeat an id, the one with the least text; only these rows are shuffled."""
-    again = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
+def _one_row_a_key(docs: DataFrame) -> DataFrame:
+    """Of rows that repeat a row_key(), the one with the least text; only these rows are shuffled."""
+    keyed = docs.withColumn("_row", row_key())
+    again = keyed.groupBy("_row").count().where("count > 1").select("_row")
     if not again.limit(1).count():
         return docs
-    least = docs.join(again, "doc_id", "left_semi").select("*", F.row_number().over(W.partitionBy("doc_id").orderBy("text")).alias("_rank"))
-    return docs.join(small(again), "doc_id", "left_anti").select(docs.columns).unionByName(least.where("_rank = 1").select(docs.columns))
+    least = keyed.join(again, "_row", "left_semi").select("*", F.row_number().over(W.partitionBy("_row").orderBy("text")).alias("_rank"))
+    return keyed.join(small(again), "_row", "left_anti").select(docs.columns).unionByName(least.where("_rank = 1").select(docs.columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that share a class with a document of a lower id; the columns stay as they are.
+    """One document of each class, that of the least id; the columns stay as they are.
 
-    An id names one document: of rows that repeat it, the one with the least text is taken. Rows without an id stay."""
-    docs = _one_row_an_id(docs)
-    lost = cut(jaccard_classes(docs).where("doc_id <> class_id and class_id >= 0").select("doc_id"), "lost")
-    return docs.join(small(lost), "doc_id", "left_anti").select(docs.columns)
+    An id names one document: of rows that repeat it, the one with the least text is taken. Rows without an id are documents
+    of their own, of which only classes without any id keep one."""
+    docs = _one_row_a_key(docs)
+    lost = cut(jaccard_classes(docs.withColumn("doc_id", row_key())).where("doc_id <> class_id").select("doc_id"), "lost")
+    return without(docs, lost)

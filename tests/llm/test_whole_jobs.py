@@ -5,7 +5,10 @@ from collections import defaultdict
 
 import numpy as np
 
-from boxwise.llm import chunk_dedup
+from pyspark.sql import functions as F
+
+from boxwise.llm import bm25_wand, chunk_dedup, fm_quality, jaccard_join
+from boxwise.llm.common import table
 
 DOC = "doc_id long, text string"
 
@@ -47,3 +50,31 @@ def test_every_repeat_of_over_50_words_is_found(spark):
     got = {r["doc_id"]: (r["first_doc_ids"], r["n_passages"], r["dup_bytes"]) for r in chunk_dedup.repeated_passages(spark.createDataFrame(rows, DOC)).collect()}
     assert len(wanted) > 2000
     assert got == wanted
+
+
+# pipeline
+def test_one_of_each_class_stays_with_or_without_ids(spark):
+    base = [f"w{k}" for k in range(120)]
+    near = lambda k: " ".join(["x" * (k + 1), *base])
+    other = lambda k: " ".join(["y" * (k + 1), *reversed(base)])
+    third = lambda k: " ".join(["z" * (k + 1), *base[::2], *base[1::2]])
+    rows = [(k, near(k)) for k in range(10, 50)] + [(None, near(50)), (None, near(51))]
+    rows += [(None, other(k)) for k in (0, 1, 1, 2)] + [(-7, third(0)), (-3, third(1)), (5, third(2)), (None, third(0))]
+    df = spark.createDataFrame(rows, DOC)
+    kept = jaccard_join.keep_one(df).collect()
+    assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [-7, 10]
+    assert [r["text"] in {other(0), other(1), other(2)} for r in kept if r["doc_id"] is None] == [True]
+    named = {r["class_id"] for r in jaccard_join.jaccard_classes(df.where("text like 'x%'")).collect()}
+    assert named == {10}
+
+
+def test_rows_without_an_id_are_filtered_like_the_rest(spark, sf_dir):
+    docs, labels, benchmark = (table(spark, sf_dir, n) for n in ("documents", "labels", "benchmark"))
+    nameless = docs.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    for stage, more in ((fm_quality.keep_good, labels), (bm25_wand.decontaminate, benchmark)):
+        wanted = sorted(r["text"] or "" for r in stage(docs, more).select("text").collect())
+        both = stage(docs.unionByName(nameless), more)
+        assert both.columns == docs.columns
+        got = both.select("doc_id", "text").collect()
+        assert sorted(r["text"] or "" for r in got if r["doc_id"] is not None) == wanted
+        assert sorted(r["text"] or "" for r in got if r["doc_id"] is None) == wanted and len(wanted) < docs.count(), stage
