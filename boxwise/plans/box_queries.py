@@ -192,10 +192,10 @@ def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(BOXES + """, need AS (SELECT doc_id, unnest([(doc_id % 7)::INT + 2, (doc_id % 5)::INT + 9]) AS len FROM documents) SELECT n.doc_id, count(DISTINCT n.len) AS wanted, count(DISTINCT CASE WHEN b.doc_id IS NOT NULL THEN n.len END) AS found FROM need n LEFT JOIN (SELECT DISTINCT doc_id, length(text) AS len FROM boxes WHERE ln < 3) b ON n.doc_id = b.doc_id AND n.len = b.len GROUP BY 1""")
 def address_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether all tokens that a document needs stand between its first lines."""
+    """How many of the tokens that a document needs stand anywhere in it; its texts hold no anchors that would bound an interval."""
     docs = table(spark, sf_dir, "documents")
     need = docs.select("doc_id", F.explode(F.array_distinct(F.array((F.col("doc_id") % 7 + 2).cast("int"), (F.col("doc_id") % 5 + 9).cast("int")))).alias("len"))
-    have = boxes(spark, sf_dir).where("ln < 3").select("doc_id", F.length("text").alias("len")).distinct().withColumn("here", F.lit(1))
+    have = boxes(spark, sf_dir).select("doc_id", F.length("text").alias("len")).distinct().withColumn("here", F.lit(1))
     return need.join(have, ["doc_id", "len"], "left").groupBy("doc_id").agg(F.count("*").alias("wanted"), F.count("here").alias("found"))
 
 

@@ -77,3 +77,12 @@ def test_every_line_has_boundaries(spark, small_dir, texts):
     wanted = [(*k, half(x.get((*k[:2], k[2] - 1)), v), half(x.get((*k[:2], k[2] + 1)), v)) for k, v in x.items()]
     found = QUERIES["column_boundaries"](spark, small_dir).select("doc_id", "ln", "pos", "lo", "hi").collect()
     assert {tuple(r) for r in found} == set(wanted) and len(found) == len(wanted)
+
+
+def test_needed_tokens_count_on_any_line(spark, small_dir, texts):
+    lengths = {d: {len(w) for e, *_, w, _, _ in boxes(texts) if e == d} for d in texts}
+    early = {d: {len(w) for e, _, ln, _, w, _, _ in boxes(texts) if e == d and ln < 3} for d in texts}
+    need = {d: {d % 7 + 2, d % 5 + 9} for d in texts}
+    wanted = sorted((d, len(n), len(n & lengths[d])) for d, n in need.items())
+    assert any(len(n & lengths[d]) > len(n & early[d]) for d, n in need.items())
+    assert got(spark, small_dir, "address_division", "doc_id", "wanted", "found") == wanted
