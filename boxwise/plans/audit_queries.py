@@ -45,12 +45,17 @@ def first_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT doc_id, page, ln, max(CASE WHEN col = 0 THEN text END) AS one, max(CASE WHEN col = 1 THEN text END) AS two FROM c GROUP BY 1, 2, 3 HAVING count(*) = 2)
 SELECT doc_id, page, max(ln) AS ln, max(one) AS one, max(two) AS two FROM r GROUP BY 1, 2 HAVING count(*) = 1""")
 def unique_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The one row of a page with exactly one value in every column; nothing if there are several or none."""
-    b = boxes(spark, sf_dir).where("length(text) >= 10 and left < 800").withColumn("col", F.expr("left div 400"))
-    cells = unique_by(b, [*KEY, "ln", "col"], text="text")
-    pick = lambda k: F.max(F.when(F.col("col") == k, F.col("text")))
-    full = cells.groupBy(*KEY, "ln").agg(F.count("*").alias("n"), pick(0).alias("one"), pick(1).alias("two")).where("n = 2")
-    return unique_by(full.withColumn("ln", F.col("ln").cast("long")), KEY, ln="ln", one="one", two="two")
+    """The one row of a page with exactly one value in every column that has any on the page; nothing if there are several or none.
+
+    A column is 400 wide. one and two are the values of the first two columns, rest those of the others."""
+    b = boxes(spark, sf_dir).where("length(text) >= 10").withColumn("col", F.expr("left div 400"))
+    cells = b.groupBy(*KEY, "ln", "col").agg(F.count("*").alias("c"), F.max("text").alias("text"))
+    columns = cells.select(*KEY, "col").distinct().groupBy(*KEY).agg(F.count("*").alias("n_columns"))
+    held = F.array_sort(F.collect_list(F.struct("col", "text")))
+    rows = cells.groupBy(*KEY, F.col("ln").cast("long").alias("ln")).agg(F.count("*").alias("n"), F.max("c").alias("most"), F.transform(held, lambda h: h["text"]).alias("held"))
+    full = rows.join(columns, KEY).where("most = 1 and n = n_columns")
+    full = full.select(*KEY, "ln", F.get("held", F.lit(0)).alias("one"), F.get("held", F.lit(1)).alias("two"), F.slice("held", 3, F.greatest(F.size("held") - 2, F.lit(0))).alias("rest"))
+    return unique_by(full, KEY, ln="ln", one="one", two="two", rest="rest")
 
 
 @query(BOXES + """SELECT b.doc_id, b.page, b.ln, b.pos FROM boxes b WHERE length(b.text) >= 9 AND EXISTS (SELECT 1 FROM boxes o WHERE o.doc_id = b.doc_id AND o.page = b.page AND o.y - b.y > 0 AND o.y - b.y < 30 AND abs(o.x - b.x) < 30 AND length(o.text) >= 9)""")

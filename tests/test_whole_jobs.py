@@ -86,3 +86,19 @@ def test_needed_tokens_count_on_any_line(spark, small_dir, texts):
     wanted = sorted((d, len(n), len(n & lengths[d])) for d, n in need.items())
     assert any(len(n & lengths[d]) > len(n & early[d]) for d, n in need.items())
     assert got(spark, small_dir, "address_division", "doc_id", "wanted", "found") == wanted
+
+
+def test_a_full_row_has_one_value_in_every_column_of_its_page(spark, tmp_path):
+    long = lambda c: c * 10
+    gap = " " + "x " * 22
+    three = lambda a, b, c: f"{long(a)}{gap}{long(b)}{gap}{long(c)}"
+    texts = {
+        1: f"{three('a', 'b', 'c')}\n{long('d')}{gap}{long('e')}\n{long('f')}",  # one row has all three columns
+        2: f"{three('a', 'b', 'c')}\n{three('d', 'e', 'f')}",  # two rows have
+        3: f"{long('a')}{gap}{long('b')}\n{'x ' * 110}{long('c')}",  # a value further right: no row has all
+        4: f"{long('a')} {long('b')}{gap}{long('c')}\n{long('d')}",  # two values in one column
+        5: f"short\n{long('a')}",  # one column only
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [(1, 0, "a" * 10, "b" * 10, ["c" * 10]), (5, 1, "a" * 10, None, [])]
+    assert got(spark, str(tmp_path), "unique_full_row", "doc_id", "ln", "one", "two", "rest") == wanted
