@@ -204,7 +204,7 @@ def spatial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faint boxes without a sure box of the same text close by."""
     b = _typed(boxes(spark, sf_dir))
     sure = b.where("conf >= 70").select(*KEY, "text", F.col("x").alias("ox"), F.col("y").alias("oy"))
-    weak = b.where("conf < 70 and ln % 40 > 0").alias("b")
+    weak = b.where("conf < 70").alias("b")
     on = (F.col("b.doc_id") == F.col("o.doc_id")) & (F.col("b.page") == F.col("o.page")) & (F.col("b.text") == F.col("o.text")) & F.expr("abs(ox - x) <= 400 and abs(oy - y) <= 60")
     return weak.join(sure.alias("o"), on, "left_anti").select("doc_id", "page", "ln", "pos")
 

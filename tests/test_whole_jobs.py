@@ -102,3 +102,12 @@ def test_a_full_row_has_one_value_in_every_column_of_its_page(spark, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     wanted = [(1, 0, "a" * 10, "b" * 10, ["c" * 10]), (5, 1, "a" * 10, None, [])]
     assert got(spark, str(tmp_path), "unique_full_row", "doc_id", "ln", "one", "two", "rest") == wanted
+
+
+def test_faint_boxes_of_first_lines_count_too(spark, small_dir, texts):
+    rows = boxes(texts)
+    sure = [r for r in rows if r[-1] >= 70]
+    near = lambda r: any(o[:2] == r[:2] and o[4] == r[4] and abs(o[5] - r[5]) <= 400 and abs(o[2] - r[2]) <= 3 for o in sure)
+    wanted = sorted(r[:4] for r in rows if r[-1] < 70 and not near(r))
+    assert any(ln % 40 == 0 for _, _, ln, _ in wanted)
+    assert got(spark, small_dir, "spatial_dedup", "doc_id", "page", "ln", "pos") == wanted
