@@ -92,16 +92,17 @@ def texts_of(made: DataFrame) -> DataFrame:
 
 
 def read_back(made: DataFrame) -> DataFrame:
-    """Turns and losses of each conversation as its examples hold them."""
+    """Turns and losses of each conversation as its examples hold them: a loss is read by its mask from the example's text with its full context."""
     shown = F.concat("context", F.coalesce("target", F.lit("")))
     tag = F.lit(TURN)
     parts = F.arrays_zip(F.regexp_extract_all("shown", tag, F.lit(1)).alias("open"), F.regexp_extract_all("shown", tag, F.lit(2)).alias("text"))
-    rows = made.withColumn("shown", shown).withColumn("parts", parts)
+    sofar = F.array_join(F.collect_list("shown").over(W.partitionBy("conv_id").orderBy("example")), "")
+    rows = made.withColumn("shown", shown).withColumn("parts", parts).withColumn("text", sofar)
     known = F.create_map(*(F.lit(x) for r, start, _ in TAGS for x in (start, r)))
     role = lambda o: F.coalesce(F.element_at(known, o), unescape(F.regexp_extract(o, r"(?s)^<role:(.*)>$", 1)))
     line = F.transform("parts", lambda p: F.concat(role(p["open"]), F.lit("\n"), unescape(p["text"]), F.lit("\n")))
-    first, length = F.col("mask_start") - F.col("offset") + 1, F.col("mask_end") - F.col("mask_start")
-    loss = F.when(F.col("mask_start").isNotNull(), unescape(F.substr("shown", first.cast("int"), length.cast("int")))).otherwise(F.lit(""))
+    first, length = F.col("mask_start") + 1, F.col("mask_end") - F.col("mask_start")
+    loss = F.when(F.col("mask_start").isNotNull(), unescape(F.substr("text", first.cast("int"), length.cast("int")))).otherwise(F.lit(""))
     one = rows.select("conv_id", "example", F.size("parts").alias("n"), F.array_join(line, "").alias("turns"), loss.alias("loss"), F.length("shown").alias("chars"))
     all_rows = F.array_sort(F.collect_list(F.struct("example", "turns", "loss")))
     out = one.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), all_rows.alias("held"), F.sum(F.length("loss")).alias("loss_chars"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_rows"))

@@ -1,5 +1,6 @@
 """The training-data operators do their whole job: counts and placements that an earlier cut would miss."""
 
+import hashlib
 import re
 from collections import defaultdict
 
@@ -7,7 +8,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from boxwise.llm import bm25_wand, chunk_dedup, fm_quality, jaccard_join
+from boxwise.llm import bm25_wand, chat_examples, chunk_dedup, fm_quality, jaccard_join
 from boxwise.llm.common import table
 
 DOC = "doc_id long, text string"
@@ -78,3 +79,14 @@ def test_rows_without_an_id_are_filtered_like_the_rest(spark, sf_dir):
         got = both.select("doc_id", "text").collect()
         assert sorted(r["text"] or "" for r in got if r["doc_id"] is not None) == wanted
         assert sorted(r["text"] or "" for r in got if r["doc_id"] is None) == wanted and len(wanted) < docs.count(), stage
+
+
+# 2
+def test_losses_are_read_from_full_contexts(spark):
+    """Where the first example is lost from the contexts, the later losses are no longer at their masks."""
+    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k} <s>") for k in range(8)]
+    made = chat_examples.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    whole = "".join(t for _, k, _, t in turns if k % 2)
+    assert chat_examples.read_back(made).first()["loss_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
+    later = "".join(t for _, k, _, t in turns if k % 2 and k > 1)
+    assert chat_examples.read_back(made.where("example > 0")).first()["loss_sha256"] != hashlib.sha256(later.encode()).hexdigest()
