@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +17,8 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 #: UTF-8 bytes of text that one Python step holds at a time (a longer single text is held alone).
 BLOCK_BYTES = 2 << 20
+#: Texts that one Python step holds at a time.
+BLOCK_TEXTS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,26 +60,44 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def text_blocks(batches: Iterable, text: int = 1, limit: int = BLOCK_BYTES) -> Iterator[list[list]]:
-    """Columns of Arrow batches as Python lists, cut so that each block holds a bounded amount of text.
+def text_blocks(batches: Iterable, text: int = 1, limit: int = BLOCK_BYTES, most: int = BLOCK_TEXTS) -> Iterator[list[list]]:
+    """Columns of Arrow batches as Python lists, cut so that each block holds a bounded amount of text and number of texts.
 
     Nulls in the text column become empty texts."""
     for batch in batches:
-        n, at = batch.num_rows, 0
-        if not n:
-            continue
-        lengths = batch.column(text).to_pandas().str.len().fillna(0).tolist() if n > 1 else [0]
-        while at < n:
-            end, held = at, 0
-            while end < n and (end == at or held + lengths[end] <= limit):
-                held += lengths[end]
-                end += 1
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            held = int(ends[at - 1]) if at else 0
+            end = min(max(at + 1, int(np.searchsorted(ends, held + limit, side="right"))), at + most, batch.num_rows)
             part = [batch.column(k).slice(at, end - at).to_pylist() for k in range(batch.num_columns)]
             part[text] = ["" if x is None else x for x in part[text]]
             yield part
             at = end
 
 
+def release() -> None:
+    """Give memory that is no longer used back to the system; Python workers live on through later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def mapped(df: DataFrame, run: Callable, schema: str, forget: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow, after which a partition's step leaves nothing behind; forget empties what outlives run."""
+
+    def whole(batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if forget is not None:
+                forget()
+            release()
+
+    return df.mapInArrow(whole, schema)
+
+
 def unnamed(hashed: Column) -> Column:
     """A number for what has no id of its own, from a hash, above all ids below 2^62."""
     return F.lit(1 << 62) + hashed.bitwiseAND((1 << 62) - 1)

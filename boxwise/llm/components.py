@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """edges(a long, b long), in any direction, with loops and repeats allowed -> (node, component).
 
     The component is its least node; nodes without an edge to another are absent. Each round shuffles the
-    edges on their ends, is written to the shared folder, and halves long chains; no row is collected."""
+    edges on their ends, is written to the shared folder, and halves long chains; no row is collected. drop() deletes the result."""
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     for _ in range(rounds):
@@ -35,6 +35,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         drop(now)
         now = new
         if tuple(sign) == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+            stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out = cut(stars.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()), "components")
+            drop(now)
+            return out
         seen = tuple(sign)
     raise RuntimeError("components did not settle")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import cut, row_key, text_blocks, without
+from boxwise.llm.common import cut, mapped, row_key, text_blocks, without
 
 #: Bound on the labelled rows that are learnt from.
 TRAIN_ROWS = 6000
@@ -39,7 +39,7 @@ def _shape(word: str) -> int:
 class Places(dict):
     """A word's kind, shape bucket and word bucket, 16 bits each; remembered up to a bound."""
 
-    LIMIT = 600_000
+    LIMIT = 100_000
 
     def __missing__(self, word: str) -> int:
         if len(self) > self.LIMIT:
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(quality, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
     got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
-    got = got.mapInArrow(run, "doc_id long, quality int, x binary")
+    got = mapped(got, run, "doc_id long, quality int, x binary")
     got = sorted({(r.doc_id, r.quality, bytes(r.x)) for r in got.toLocalIterator()})
     if len({q for _, q, _ in got}) < 2:
         return Model()
@@ -172,7 +172,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for ids, texts in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(model.scores(features(texts, places)))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, score double")
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:

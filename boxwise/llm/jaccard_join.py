@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from boxwise.llm.common import cut, row_key, small, text_blocks, unnamed, without
+from boxwise.llm.common import cut, drop, mapped, row_key, small, text_blocks, unnamed, without
 from boxwise.llm.components import connected_components
 from boxwise.llm.shingles import WordHashes, bands_for, intersections, minhash_bands, shingles
 
 THRESHOLD_TENTHS, RECALL, ROWS = 8, 0.999, 6
 #: Shingles (plus 512 a text) in a block of a cell.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 
 def signatures(docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
@@ -42,7 +42,7 @@ def signatures(docs: DataFrame, rows: int = ROWS, recall: float = RECALL) -> Dat
             digests = [blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts), lists], names=["doc_id", "digest", "n_shingles", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, digest binary, n_shingles long, bands array<long>")
+    return mapped(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, digest binary, n_shingles long, bands array<long>")
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def _sets(docs: DataFrame) -> DataFrame:
             sets = [np.unique(flat[e - c : e]).tobytes() for e, c in zip(ends, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary()), pa.array(cells, pa.int64()), pa.array(blocks, pa.int32()), pa.array(n, pa.int32())], names=["node", "shingles", "cell", "block", "n_blocks"])
 
-    return docs.mapInArrow(run, "node long, shingles binary, cell long, block int, n_blocks int")
+    return mapped(docs, run, "node long, shingles binary, cell long, block int, n_blocks int")
 
 
 def links_of(members: list[tuple[int, int, np.ndarray]], across: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +108,7 @@ def _verify(sets: DataFrame) -> DataFrame:
         if len(members) > 1:
             yield done(key, members)
 
-    return sets.mapInArrow(run, "node long, n long, other long")
+    return mapped(sets, run, "node long, n long, other long")
 
 
 def jaccard_classes(docs: DataFrame, rows: int = ROWS, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
@@ -135,7 +135,10 @@ def jaccard_classes(docs: DataFrame, rows: int = ROWS, recall: float = RECALL, b
     classes = connected_components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
     known = nodes.select("digest", "node", "n_copies").join(links, "node", "left").join(classes, "node", "left")
     known = known.select("digest", F.coalesce("component", "node").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    return signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", "n_links", "n_copies")
+    out = cut(signed.select("doc_id", "digest").join(known, "digest").select("doc_id", "class_id", "n_links", "n_copies"), "classes")
+    for done in (signed, nodes, cells, dealt, found, classes):
+        drop(done)
+    return out
 
 
 def _one_row_a_key(docs: DataFrame) -> DataFrame:
@@ -154,5 +157,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     An id names one document: of rows that repeat it, the one with the least text is taken. Rows without an id are documents
     of their own, of which only classes without any id keep one."""
     docs = _one_row_a_key(docs)
-    lost = cut(jaccard_classes(docs.withColumn("doc_id", row_key())).where("doc_id <> class_id").select("doc_id"), "lost")
-    return without(docs, lost)
+    return without(docs, jaccard_classes(docs.withColumn("doc_id", row_key())).where("doc_id <> class_id").select("doc_id"))
