@@ -110,8 +110,17 @@ def row_key() -> Column:
 
 def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
     """docs without the rows whose row_key() is among the doc_id of lost; the columns stay as they are."""
-    gone = lost.select(F.col("doc_id").alias("_row"))
-    return docs.withColumn("_row", row_key()).join(small(gone), "_row", "left_anti").select(docs.columns)
+    row = fresh(docs, "row")
+    gone = lost.select(F.col("doc_id").alias(row))
+    return docs.withColumn(row, row_key()).join(small(gone), row, "left_anti").select([f"`{c}`" for c in docs.columns])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def or_empty(c: str | Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from boxwise.llm.common import cut, drop, mapped, row_key, small, text_blocks, unnamed, without
+from boxwise.llm.common import cut, drop, fresh, mapped, row_key, small, text_blocks, unnamed, without
 from boxwise.llm.components import connected_components
 from boxwise.llm.shingles import WordHashes, bands_for, intersections, minhash_bands, shingles
 
@@ -143,12 +143,14 @@ def jaccard_classes(docs: DataFrame, rows: int = ROWS, recall: float = RECALL, b
 
 def _one_row_a_key(docs: DataFrame) -> DataFrame:
     """Of rows that repeat a row_key(), the one with the least text; only these rows are shuffled."""
-    keyed = docs.withColumn("_row", row_key())
-    again = keyed.groupBy("_row").count().where("count > 1").select("_row")
+    row, rank = fresh(docs, "row"), fresh(docs, "rank")
+    keyed = docs.withColumn(row, row_key())
+    again = keyed.groupBy(row).agg(F.count("*").alias(rank)).where(F.col(rank) > 1).select(row)
     if not again.limit(1).count():
         return docs
-    least = keyed.join(again, "_row", "left_semi").select("*", F.row_number().over(W.partitionBy("_row").orderBy("text")).alias("_rank"))
-    return keyed.join(small(again), "_row", "left_anti").select(docs.columns).unionByName(least.where("_rank = 1").select(docs.columns))
+    columns = [f"`{c}`" for c in docs.columns]
+    least = keyed.join(again, row, "left_semi").select("*", F.row_number().over(W.partitionBy(row).orderBy("text")).alias(rank))
+    return keyed.join(small(again), row, "left_anti").select(columns).unionByName(least.where(F.col(rank) == 1).select(columns))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
