@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Arabic-Indic and Persian digits, and the digits that they stand for.
 PRINTED_DIGITS, ASCII_DIGITS = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
+#: Units and currencies that may stand beside a number.
 UNITS = "(?:PCS?|SETS?|KG|M|LTR|BAG|DRM|GAL|EA|SAR|USD|AED|ريال|#)"
 CURRENCIES = "(?:SAR|USD|AED|EUR|GBP|PKR|ريال)"
 
@@ -63,9 +64,9 @@ def digits_of_length(c: Column, lengths: list[int]) -> Column:
 
 
 def squashed(c: Column) -> Column:
-    """Diacritics and tatweel go, alef forms fold, only letters and digits stay."""
-    t = F.regexp_replace(folded(F.lower(c)), "[ً-ٰٟـ]", "")
-    return F.regexp_replace(F.translate(t, "أإآىة", "ااايه"), r"[^a-z0-9ء-ي]", "")
+    """Vowel signs (U+064B to U+0652) and tatweel go, the four alef forms fold, only ASCII letters, digits and the Arabic block stay."""
+    t = F.replace(F.regexp_replace(folded(F.lower(c)), "[\u064b-\u0652\u0640]", ""), F.lit("ß"), F.lit("ss"))
+    return F.regexp_replace(F.translate(t, "أإآٱ", "اااا"), "[^0-9a-z\u0600-\u06ff]", "")
 
 
 def has_arabic(c: Column) -> Column:
@@ -73,13 +74,11 @@ def has_arabic(c: Column) -> Column:
 
 
 def date_key(c: Column) -> Column:
-    """ISO form of a numeric date, year first or day first; else the text."""
-    t = folded(c)
-    first = F.regexp_extract(t, r"([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", 0)
-    last = F.regexp_extract(t, r"([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})", 0)
-    plain = lambda d: F.regexp_replace(d, "[/.]", "-")
-    found = F.coalesce(F.try_to_date(or_null(plain(first)), "yyyy-M-d"), F.try_to_date(or_null(plain(last)), "d-M-yyyy"))
-    return F.coalesce(F.date_format(found, "yyyy-MM-dd"), t)
+    """ISO form of a text that is a date, year first or day first, between dashes or strokes; else the text, its strokes as dashes."""
+    t = F.replace(normalized(c), F.lit("/"), F.lit("-"))
+    first = F.when(t.rlike("^(?!0000)[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_date(t, "yyyy-M-d"))
+    last = F.when(t.rlike("^[0-9]{1,2}-[0-9]{1,2}-(?!0000)[0-9]{4}$"), F.try_to_date(t, "d-M-yyyy"))
+    return F.coalesce(F.date_format(F.coalesce(first, last), "yyyy-MM-dd"), t)
 
 
 def phrase_in(text: Column, phrase: str) -> Column:

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def hash_split(groups: DataFrame, key: str, salt: str = "invoice-v1:", tenths: float = 1.5) -> DataFrame:
-    """Groups dealt to test, validation and train by the order of a salted digest, at least one each for the first two.
+def hash_split(groups: DataFrame, key: str, salt: str = "invoice-v1:", share: float = 0.15) -> DataFrame:
+    """Groups dealt to test, validation and train by the order of a salted digest; the first two get the share each, rounded half to
+    even, one at least. Fewer than three groups are an error.
 
     The groups are few (layouts, brands), so one window over all of them is the feature."""
     n = F.count(F.lit(1)).over(W.partitionBy())
-    size = F.greatest(F.lit(1), F.floor((n * tenths * 10).cast("long") / 100)).cast("long")
+    size = F.greatest(F.lit(1), F.bround(n * F.lit(share)).cast("long"))
     rank = F.row_number().over(W.partitionBy().orderBy(F.sha2(F.concat(F.lit(salt), F.col(key)), 256)))
-    return groups.withColumn("split", F.when(rank <= size, "test").when(rank <= 2 * size, "validation").otherwise("train"))
+    split = F.when(n < 3, F.raise_error(F.lit("three groups are needed for three splits")).cast("string")).when(rank <= size, "test").when(rank <= 2 * size, "validation").otherwise("train")
+    return groups.withColumn("split", split)
 
 
 def quota(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

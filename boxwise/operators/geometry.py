@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def nearest(labels: DataFrame, values: DataFrame, keys: list[str], dx: int, dy: int) -> DataFrame:
-    """For each label box the value box with the least 3 |dy| + |dx|, then the earliest; columns l_ and v_."""
-    left = labels.select(*keys, *(F.col(c).alias(f"l_{c}") for c in labels.columns if c not in keys))
-    right = values.select(*keys, *(F.col(c).alias(f"v_{c}") for c in values.columns if c not in keys))
-    met = left.join(right, keys).where((F.abs(F.col("v_top") - F.col("l_top")) <= dy) & (F.abs(F.col("v_left") - F.col("l_left")) <= dx))
-    score = 3 * F.abs(F.col("v_top") - F.col("l_top")) + F.abs(F.col("v_left") - F.col("l_left"))
+def nearest(labels: DataFrame, values: DataFrame, keys: list[str], reach: int, down: int) -> DataFrame:
+    """For each label box the value box with the least 3 |dy| + |dx| between centres, if that is within reach and |dy| within down; of
+    equal ones the earliest. A label is never its own value. Columns l_ and v.
+
+    Centres are cut into bands of these sizes, so the bands are keys of the join too."""
+    place = lambda df, p: df.select(*keys, *(F.col(c).alias(f"{p}{c}") for c in df.columns if c not in keys), (F.col("left") + F.col("width") / 2).alias(f"{p}x"), (F.col("top") + F.col("height") / 2).alias(f"{p}y"))
+    near = lambda c, size: F.explode(F.sequence(F.floor(F.col(c) / size) - 1, F.floor(F.col(c) / size) + 1))
+    left = place(labels, "l_").withColumn("_across", near("l_x", reach)).withColumn("_down", near("l_y", down))
+    right = place(values, "v_").withColumn("_across", F.floor(F.col("v_x") / reach)).withColumn("_down", F.floor(F.col("v_y") / down))
+    dy = F.abs(F.col("v_y") - F.col("l_y"))
+    score = 3 * dy + F.abs(F.col("v_x") - F.col("l_x"))
+    itself = (F.col("l_ln") == F.col("v_ln")) & (F.col("l_pos") == F.col("v_pos"))
+    met = left.join(right, [*keys, "_across", "_down"]).where((dy <= down) & (score <= reach) & ~itself)
     best = F.min(F.struct(score.alias("score"), F.col("v_ln").alias("ln"), F.col("v_pos").alias("pos"), F.col("v_text").alias("text"))).alias("v")
     return met.groupBy(*keys, "l_ln", "l_pos", "l_text").agg(best)
 
@@ -48,9 +57,14 @@ def islands(rows: DataFrame, keys: list[str], at: Column, order: list[str], gap:
 
 
 def kept_apart(sorted_places: Column, gap: int) -> Column:
-    """Greedy: a place stays if it is further than the gap from the last that stayed."""
-    none = F.expr("cast(array() as array<bigint>)")
-    return F.aggregate(sorted_places, none, lambda a, x: F.when((F.size(a) == 0) | (x - F.try_element_at(a, F.lit(-1)) > gap), F.concat(a, F.array(x))).otherwise(a))
+    """Greedy: a place stays if it is further than the gap from the last that stayed. struct<n, last>, nothing else is carried."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
+
+    def on(s, x):
+        stays = s["last"].isNull() | (x - s["last"] > gap)
+        return F.struct((s["n"] + stays.cast("long")).alias("n"), F.when(stays, x).otherwise(s["last"]).alias("last"))
+
+    return F.aggregate(sorted_places, start, on)
 
 
 def overlap(a: str, b: str) -> Column:
@@ -62,38 +76,49 @@ def overlap(a: str, b: str) -> Column:
 def row_clusters(boxes: DataFrame, tolerance: float = 18.0) -> DataFrame:
     """Exact greedy rows of a page: by top, each box joins the closest row with a member centre within the tolerance, else opens one.
 
-    The order of boxes matters, so a page is one group of a Pandas function; pages are small."""
+    The order of boxes matters, so a page is one group of a Pandas function. The closest member is looked up in the sorted centres: n log n
+    comparisons for n boxes, also where a page is one long line."""
 
     def cluster(page):
         page = page.sort_values(["top", "left", "ln", "pos"])
-        rows: list[list[float]] = []
-        out = []
+        centres: list[float] = []
+        row_of: dict[float, int] = {}
+        out, n = [], 0
         for y in (page["top"] + page["height"] / 2).tolist():
-            apart = [(min(abs(y - m) for m in r), k) for k, r in enumerate(rows)]
-            best = min((a for a in apart if a[0] <= tolerance), default=None)
-            if best is None:
-                rows.append([])
-                best = (0, len(rows) - 1)
-            rows[best[1]].append(y)
-            out.append(best[1])
+            row = row_of.get(y)
+            if row is None:
+                at = bisect_left(centres, y)
+                near = [(abs(y - c), row_of[c]) for c in centres[max(0, at - 1) : at + 1]]
+                apart, row = min(near, default=(tolerance + 1, n))
+                if apart > tolerance:
+                    row, n = n, n + 1
+                centres.insert(at, y)
+                row_of[y] = row
+            out.append(row)
         return page.assign(row=out)[["doc_id", "page", "ln", "pos", "text", "row"]]
 
     return boxes.groupBy("doc_id", "page").applyInPandas(cluster, "doc_id long, page int, ln int, pos int, text string, row int")
 
 
-def same_ink(boxes: DataFrame, share: float = 0.6) -> DataFrame:
-    """Greedy, by confidence then length: a box stays unless it covers more than the share of one that stayed."""
+def same_ink(boxes: DataFrame, height: float, share: float = 0.6) -> DataFrame:
+    """Greedy, rereads first, then by confidence and length: a box stays unless one that stayed is of the same script, less than 0.7 of
+    the height away, and shares more than the share of the narrower one's width.
+
+    boxes has source besides the usual columns. What stays is held by bands of that height, so a box meets those near it alone."""
 
     def pick(page):
-        page = page.assign(n=page["text"].str.len()).sort_values(["confidence", "n", "ln", "pos"], ascending=[False, False, True, True])
-        box = page[["left", "top", "width", "height"]].to_numpy(float)
-        kept, flags = np.empty_like(box), []
-        for left, top, width, height in box:
-            a, b, c, d = kept[: sum(flags)].T
-            shared = np.clip(np.minimum(left + width, a + c) - np.maximum(left, a), 0, None) * np.clip(np.minimum(top + height, b + d) - np.maximum(top, b), 0, None)
-            flags.append(not (shared > share * np.minimum(width * height, c * d)).any())
+        arabic = page["text"].str.contains("[\u0600-\u06ff]")
+        page = page.assign(first=page["source"] != "targeted_ocr", n=page["text"].str.len(), arabic=arabic, y=page["top"] + page["height"] / 2)
+        page = page.sort_values(["first", "confidence", "n", "ln", "pos"], ascending=[True, False, False, True, True])
+        kept: dict[tuple, list[tuple[float, float, float]]] = {}
+        flags = []
+        for y, left, width, script in zip(page["y"].tolist(), page["left"].tolist(), page["width"].tolist(), page["arabic"].tolist(), strict=True):
+            band = int(y // height)
+            near = np.array([k for b in (band - 1, band, band + 1) for k in kept.get((script, b), ())]).reshape(-1, 3)
+            shared = np.minimum(left + width, near[:, 1] + near[:, 2]) - np.maximum(left, near[:, 1])
+            flags.append(not ((np.abs(near[:, 0] - y) < 0.7 * height) & (shared > 0) & (shared > share * np.minimum(width, near[:, 2]))).any())
             if flags[-1]:
-                kept[sum(flags) - 1] = left, top, width, height
+                kept.setdefault((script, band), []).append((y, left, width))
         return page.assign(kept=flags)[["doc_id", "page", "ln", "pos", "text", "kept"]]
 
     return boxes.groupBy("doc_id", "page").applyInPandas(pick, "doc_id long, page int, ln int, pos int, text string, kept boolean")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def unique_by(rows: DataFrame, keys: list[str], **values: str) -> DataFrame:
@@ -41,3 +42,11 @@ def canonical(source: DataFrame, **aliases: list[str]) -> DataFrame:
 def eav(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Long form of rows: keys, path, value; nulls stay."""
     return rows.select(*keys, *(F.col(v).cast("string").alias(v) for v in values)).unpivot(keys, values, "path", "value")
+
+
+def out_of_order(found: DataFrame, keys: list[str]) -> DataFrame:
+    """Items found once (n, code, page, y, h) with back: the next item stands on the same page, more than half a height above."""
+    w = W.partitionBy(*keys).orderBy("n", "code")
+    after = {c: F.lead(c).over(w) for c in ("n", "page", "y", "h")}
+    back = (after["n"] == F.col("n") + 1) & (after["page"] == F.col("page")) & (F.col("y") > after["y"] + F.greatest("h", after["h"]) * 0.5)
+    return found.withColumn("back", F.coalesce(back, F.lit(False)))

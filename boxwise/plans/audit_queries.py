@@ -17,10 +17,10 @@ from boxwise.sources.tables import table
 
 
 @query("""WITH v AS (SELECT user_id, event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS w FROM events GROUP BY 1, 2)
-SELECT user_id, CAST(sum(w) AS BIGINT) AS total, max(w) AS top, CASE WHEN max(w) * 100 >= sum(w) * 30 THEN arg_max(event_type, (w, event_type)) END AS dominant FROM v GROUP BY 1""")
+SELECT user_id, CAST(sum(w) AS BIGINT) AS total, max(w) AS top, CASE WHEN max(w) * 100 >= sum(w) * 80 THEN arg_max(event_type, (w, event_type)) END AS dominant FROM v GROUP BY 1""")
 def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kind of event with at least 30 per cent of a user's value."""
-    return dominant(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.round(F.col("value") * 100).cast("long"), 30)
+    """The kind of event with at least 80 per cent of a user's value."""
+    return dominant(table(spark, sf_dir, "events"), ["user_id"], "event_type", F.round(F.col("value") * 100).cast("long"), 80)
 
 
 @query(BOXES + """, r AS (SELECT *, length(text) = 7 OR regexp_matches(text, '[\\x{0600}-\\x{06FF}]') AS rtl FROM boxes)
@@ -136,19 +136,19 @@ def identifier_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kinds.select("user_id", F.array_join("k", ",").alias("kinds"), (F.size("k") > 1).alias("review"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN strftime(o_orderdate, '%b %Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS key FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'Date: ' || strftime(o_orderdate, '%Y.%-m.%-d') WHEN 3 THEN strftime(o_orderdate, '%b %Y') WHEN 4 THEN strftime(o_orderdate, '%d-%m-%Y') || ' 9:30' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS key FROM orders""")
 def date_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One date printed four ways and read back; a text that is no numeric date stays."""
+    """One date printed five ways and read back; a text that is not all a date stays, but for its strokes."""
     k, d = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
     form = lambda p: F.date_format(d, p)
-    shown = F.when(k % 4 == 0, form("dd/MM/yyyy")).when(k % 4 == 1, F.concat(F.lit("Date: "), form("yyyy.M.d"))).when(k % 4 == 2, form("yyyy-MM-dd")).otherwise(form("MMM yyyy"))
+    shown = F.when(k % 5 == 0, form("dd/MM/yyyy")).when(k % 5 == 1, F.concat(F.lit("Date: "), form("yyyy.M.d"))).when(k % 5 == 2, form("yyyy-M-d")).when(k % 5 == 3, form("MMM yyyy")).otherwise(F.concat(form("dd/MM/yyyy"), F.lit(" 9:30")))
     return table(spark, sf_dir, "orders").select("o_orderkey", date_key(shown).alias("key"))
 
 
-@query("""SELECT c_custkey, 'الاسم' || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS label FROM customer""")
+@query("""SELECT c_custkey, 'مدرسةىٱپ'[:6] || 'اپ' || regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS label FROM customer""")
 def squashed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels without vowel signs, tatweel, alef forms and punctuation."""
-    return table(spark, sf_dir, "customer").select("c_custkey", squashed(F.concat(F.lit("الإِسـم: "), F.col("c_name"))).alias("label"))
+    """Labels without vowel signs, tatweel, alef forms and punctuation; all other Arabic letters stay as they are."""
+    return table(spark, sf_dir, "customer").select("c_custkey", squashed(F.concat(F.lit("مَدرسـة ى ٱ پ: "), F.col("c_name"))).alias("label"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'N' || o_orderkey END AS number, CASE WHEN o_orderkey % 5 IN (0, 1) THEN o_orderkey % 100 END AS total FROM orders""")

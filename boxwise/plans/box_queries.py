@@ -69,7 +69,7 @@ SELECT user_id, CAST(max(n) AS BIGINT) AS n, max(kept) AS last FROM f GROUP BY u
 def greedy_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.floor(F.unix_micros(F.date_trunc("second", F.col("ts").cast("timestamp"))) / 1_000_000).cast("long") - 946684800
     kept = kept_apart(F.array_sort(F.collect_list(s)), 86400)
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(kept.alias("a")).select("user_id", F.size("a").cast("long").alias("n"), F.element_at("a", -1).alias("last"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(kept.alias("a")).select("user_id", "a.n", "a.last")
 
 
 @query(BOXES + "SELECT doc_id, ln, pos, (lag(x) OVER w1 + x) / 2 AS lo, (lead(x) OVER w1 + x) / 2 AS hi FROM boxes WHERE ln % 4 = 0 WINDOW w1 AS (PARTITION BY doc_id, ln ORDER BY x)")
@@ -86,13 +86,13 @@ def column_bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_interval(b.where("ln % 40 > 0").select(*KEY, "ln", "pos", "x"), heads, KEY, "x").select("doc_id", "ln", "pos", "col")
 
 
-@query(BOXES + f""", m AS (SELECT l.doc_id, l.page, l.ln, l.pos, l.text, 3 * abs(v.y - l.y) + abs(v.x - l.x) AS score, v.ln AS vl, v.pos AS vp, v.text AS value FROM boxes l JOIN boxes v ON l.doc_id = v.doc_id AND l.page = v.page
- WHERE (length(l.text) = 3 AND l.text LIKE 't%') AND length(v.text) >= 12 AND abs(v.y - l.y) <= 100 AND abs(v.x - l.x) <= 450)
+@query(BOXES + f""", m AS (SELECT l.doc_id, l.page, l.ln, l.pos, l.text, 3 * abs(v.y - l.y) + abs(v.x + v.w / 2 - l.x - l.w / 2) AS score, v.ln AS vl, v.pos AS vp, v.text AS value FROM boxes l JOIN boxes v ON l.doc_id = v.doc_id AND l.page = v.page
+ WHERE (length(l.text) = 3 AND l.text LIKE 't%') AND length(v.text) >= 12 AND abs(v.y - l.y) <= 100 AND 3 * abs(v.y - l.y) + abs(v.x + v.w / 2 - l.x - l.w / 2) <= 450)
 SELECT doc_id, page, ln, pos, text AS label, arg_min(value, (score, vl, vp)) AS value, min(score) AS score FROM m GROUP BY 1, 2, 3, 4, 5""")
 def nearest_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
     got = nearest(b.where(LABEL), b.where(VALUE), KEY, 450, 100)
-    return got.select(*KEY, F.col("l_ln").cast("long").alias("ln"), F.col("l_pos").cast("long").alias("pos"), F.col("l_text").alias("label"), F.col("v.text").alias("value"), F.col("v.score").cast("long").alias("score"))
+    return got.select(*KEY, F.col("l_ln").cast("long").alias("ln"), F.col("l_pos").cast("long").alias("pos"), F.col("l_text").alias("label"), F.col("v.text").alias("value"), F.col("v.score").alias("score"))
 
 
 @query(BOXES + """, m AS (SELECT l.doc_id, l.page, l.ln, l.pos, v.text AS value, v.x - l.x - l.w AS gap, v.conf, v.pos AS vp FROM boxes l JOIN boxes v ON l.doc_id = v.doc_id AND l.page = v.page
@@ -219,16 +219,24 @@ def region_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.join(o, KEY).where(overlap("r_", "o_")).groupBy(*KEY, "rl", "rp").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
 
 
-@query(BOXES + "SELECT doc_id, page, count(*) AS n, count(DISTINCT ln) AS n_rows FROM boxes GROUP BY 1, 2")
+@query(BOXES + """, j AS (SELECT doc_id, page, y + (pos * 7 + ln * 5) % 13 AS y FROM boxes), c AS (SELECT doc_id, page, y, count(*) AS n FROM j GROUP BY 1, 2, 3),
+g AS (SELECT *, coalesce(y - lag(y) OVER (PARTITION BY doc_id, page ORDER BY y) > 9, true) AS opens FROM c)
+SELECT doc_id, page, CAST(sum(n) AS BIGINT) AS n, count_if(opens) AS n_rows FROM g GROUP BY 1, 2""")
 def exact_row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy rows of each page; with lines 20 apart and a tolerance of 18 they are the lines."""
-    return row_clusters(boxes(spark, sf_dir)).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_distinct("row").alias("n_rows"))
+    """Greedy rows of each page, whose words stand up to 12 off their line: with equal heights a row ends at a gap over the tolerance."""
+    b = boxes(spark, sf_dir)
+    off = b.withColumn("top", (F.col("top") + (F.col("pos") * 7 + F.col("ln") * 5) % 13).cast("int"))
+    return row_clusters(off, 9.0).groupBy(*KEY).agg(F.count("*").alias("n"), F.count_distinct("row").alias("n_rows"))
 
 
-@query(BOXES + "SELECT doc_id, page, count(*) AS n, count(*) AS n_kept FROM boxes GROUP BY 1, 2")
+@query(BOXES + """, faint AS (SELECT doc_id, page, ln, pos, x + ln % 4 * 8 AS x, w, pos % 6 = 1 AS arabic FROM boxes WHERE pos % 3 = 1),
+gone AS (SELECT DISTINCT f.doc_id, f.page, f.ln, f.pos FROM faint f JOIN boxes o ON o.doc_id = f.doc_id AND o.ln = f.ln AND o.pos BETWEEN f.pos AND f.pos + 4
+ WHERE NOT f.arabic AND least(f.x + f.w, o.x + o.w) - greatest(f.x, o.x) > 0.6 * least(f.w, o.w))
+SELECT b.doc_id, b.page, b.n, b.n - coalesce(g.n, 0) AS n_kept FROM (SELECT doc_id, page, count(*) + count_if(pos % 3 = 1) AS n FROM boxes GROUP BY 1, 2) b LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM gone GROUP BY 1, 2) g USING (doc_id, page)""")
 def same_ink_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of a text don't overlap, so all stay; doubled boxes lose their double."""
-    b = boxes(spark, sf_dir)
-    faint = b.withColumns({"left": F.col("left") + 1, "confidence": F.lit(10), "pos": F.col("pos") + 100_000})
-    out = same_ink(b.unionByName(faint))
-    return out.groupBy(*KEY).agg((F.count("*") / 2).cast("long").alias("n"), F.count_if(F.col("kept")).alias("n_kept"))
+    """Every third word is read twice, the faint reading 0 to 24 to the right: it goes where it covers a word enough, if of the same script."""
+    b = boxes(spark, sf_dir).withColumn("source", F.lit("ocr"))
+    again = b.where("pos % 3 = 1")
+    faint = again.withColumns({"left": (F.col("left") + F.col("ln") % 4 * 8).cast("int"), "confidence": F.lit(10), "text": F.when(F.col("pos") % 6 == 1, "كلمة").otherwise(F.col("text"))})
+    out = same_ink(b.unionByName(faint.withColumn("pos", F.col("pos") + 1_000_000)), 20)
+    return out.groupBy(*KEY).agg(F.count("*").alias("n"), F.count_if(F.col("kept")).alias("n_kept"))

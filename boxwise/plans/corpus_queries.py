@@ -61,7 +61,7 @@ def error_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH g AS (SELECT DISTINCT p_brand FROM part), r AS (SELECT p_brand, row_number() OVER (ORDER BY sha256('invoice-v1:' || p_brand)) AS k, count(*) OVER () AS n FROM g)
-SELECT p_brand, CASE WHEN k <= greatest(1, n * 15 // 100) THEN 'test' WHEN k <= 2 * greatest(1, n * 15 // 100) THEN 'validation' ELSE 'train' END AS split FROM r""")
+SELECT p_brand, CASE WHEN k <= greatest(1, round_even(n * 0.15, 0)) THEN 'test' WHEN k <= 2 * greatest(1, round_even(n * 0.15, 0)) THEN 'validation' ELSE 'train' END AS split FROM r""")
 def hash_split_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_split(table(spark, sf_dir, "part").select("p_brand").distinct(), "p_brand")
 

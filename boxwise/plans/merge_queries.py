@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from boxwise.operators.merges import anchored, canonical, eav, outcome, unique_by
+from boxwise.operators.merges import anchored, canonical, eav, out_of_order, outcome, unique_by
 from boxwise.plans.registry import query
 from boxwise.sources.tables import table
 
@@ -71,11 +71,14 @@ def first_non_null_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("conv_id").agg(F.max("role1").alias("role"), F.max("n1").alias("n"), F.count_if(F.col("role") != F.col("role1")).alias("role_conflicts"), F.count_if(F.col("n") != F.col("n1")).alias("n_conflicts"))
 
 
-@query("""WITH u AS (SELECT l_orderkey, l_linenumber, max(l_shipdate) AS d FROM lineitem GROUP BY 1, 2 HAVING count(*) = 1), s AS (SELECT l_orderkey, d < lag(d) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS back FROM u) SELECT l_orderkey, count(*) AS n, count_if(coalesce(back, false)) AS violations FROM s GROUP BY 1""")
+@query("""WITH p AS (SELECT l_orderkey, l_linenumber AS n, l_partkey AS code, CASE WHEN l_linenumber > 4 THEN 2 ELSE 1 END AS page, 20 * l_linenumber - CASE WHEN l_suppkey % 5 = 0 THEN 45 ELSE 0 END AS y, 16 + l_partkey % 3 * 8 AS h FROM lineitem),
+u AS (SELECT l_orderkey, code, max(n) AS n, max(page) AS page, max(y) AS y, max(h) AS h FROM p GROUP BY 1, 2 HAVING count(*) = 1),
+s AS (SELECT l_orderkey, coalesce(lead(n) OVER w = n + 1 AND lead(page) OVER w = page AND y > lead(y) OVER w + greatest(h, lead(h) OVER w) * 0.5, false) AS back FROM u WINDOW w AS (PARTITION BY l_orderkey ORDER BY n, code))
+SELECT l_orderkey, count(*) AS n, count_if(back) AS violations FROM s GROUP BY 1""")
 def row_order_violation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = unique_by(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], d="l_shipdate")
-    back = F.coalesce(F.col("d") < F.lag("d").over(W.partitionBy("l_orderkey").orderBy("l_linenumber")), F.lit(False))
-    return u.withColumn("back", back).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("back")).alias("violations"))
+    """Neighbouring items, each with a code printed once, whose codes stand on one page more than half a height out of order."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("code"), F.when(F.col("l_linenumber") > 4, 2).otherwise(1).alias("page"), (20 * F.col("l_linenumber") - F.when(F.col("l_suppkey") % 5 == 0, 45).otherwise(0)).alias("y"), (16 + F.col("l_partkey") % 3 * 8).alias("h"))
+    return out_of_order(unique_by(rows, ["l_orderkey", "code"], n="n", page="page", y="y", h="h"), ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if("back").alias("violations"))
 
 
 @query("SELECT o_orderkey::VARCHAR AS invoice_number, c_name AS buyer, n_name AS country, CAST(round(o_totalprice * 100) AS BIGINT) AS net_cents, NULLIF(o_orderstatus, '') AS state FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey")

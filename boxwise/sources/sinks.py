@@ -1,16 +1,41 @@
-"""Sinks: JSON lines by split, and one response a document. Writers go through Spark's commit protocol, so a reader never sees half a file."""
+"""Sinks: JSON lines by split, and one response a document."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def finite(c: Column, kind: T.DataType) -> Column:
+    """The column with every number that is infinite or no number, at any depth, as null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(F.abs(c) < float("inf"), c)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: finite(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*(finite(c[f.name], f.dataType).alias(f.name) for f in kind)))
+    return c
 
 
 def write_jsonl(rows: DataFrame, path: str, split: str | None = None) -> None:
-    """JSON lines under path, a folder for each value of the split column; nulls are written, values that are no number are null."""
-    plain = rows.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if kind in ("double", "float") else F.col(c) for c, kind in rows.dtypes))
-    writer = plain.write.mode("overwrite").option("ignoreNullFields", "false")
-    (writer.partitionBy(split) if split else writer).json(path)
+    """JSON lines under path, a folder for each value of the split column; nulls are written.
+
+    They are written beside the path and renamed when whole, so what stands there is never half a result."""
+    plain = rows.select(*(finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema))
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    writer = plain.write.option("ignoreNullFields", "false")
+    (writer.partitionBy(split) if split else writer).json(fresh)
+    session = rows.sparkSession
+    place = session._jvm.org.apache.hadoop.fs.Path
+    files = place(fresh).getFileSystem(session.sparkContext._jsc.hadoopConfiguration())
+    files.delete(place(path), True)
+    if not files.rename(place(fresh), place(path)):
+        raise OSError(f"{fresh} could not be renamed")
 
 
 def response(valid: Column, code: Column, **fields: Column) -> Column:

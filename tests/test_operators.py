@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxwise.functions import scalars as S
 from boxwise.functions.scalars import draft_json
-from boxwise.functions.words import arabic_hundredths, english_hundredths
+from boxwise.functions.words import arabic_amount, english_amount
 from boxwise.operators.audits import dominant, lost_rows, reviews
 from boxwise.operators.checks import complete_sum, plausible, row_mode, upper_median
 from boxwise.operators.corpus import schema_faults, unfinished
@@ -41,16 +41,43 @@ def test_text(spark):
     assert one(spark, lambda c: S.lost_digits(c, F.lit("1819")), "819") is True
     assert one(spark, lambda c: S.lost_digits(c, F.lit("1819")), "991") is False
     assert one(spark, S.compatible, "ﬁ①") == "fi1"
-    assert one(spark, S.squashed, "أحـمد 12") == "احمد12"
+    assert one(spark, S.squashed, "أحـمد 12") == "احمد12" and one(spark, S.squashed, "مدرسة ىٱ پ") == "مدرسةىاپ"
+    assert one(spark, S.date_key, "Date: 2020.1.2") == "Date: 2020.1.2" and one(spark, S.date_key, "31/2/2020") == "31-2-2020"
 
 
-def test_words():
-    assert english_hundredths("ThreeThousands Two Hundred and five Riyals and ten halalas only") == 320510
-    assert english_hundredths("Five riyals and 25 halalas") == 525
-    assert english_hundredths("nothing here") is None and english_hundredths(None) is None
-    assert arabic_hundredths("فقط الف ومائتان وخمسون ريال سعودي لا غير") == 125000
-    assert arabic_hundredths("كلمة خمسة غريبة ريال") is None
-    assert arabic_hundredths("بلا عملة") is None
+@pytest.mark.parametrize(
+    "text,hundredths",
+    [
+        ("ThreeThousands Two Hundred and five Riyals and ten halalas only", 320510),
+        ("Five riyals and 25 halalas", 525),
+        ("one million two hundred thousand and seven", 120000700),
+        ("Twenty-one, SAR and thirty h.", 2130),
+        ("hundred riyals two", 10000),
+        ("ten halalas", None),
+        ("nothing here", None),
+        ("", None),
+        (None, None),
+    ],
+)
+def test_english_words(spark, text, hundredths):
+    assert one(spark, english_amount, text) == hundredths
+
+
+@pytest.mark.parametrize(
+    "text,hundredths",
+    [
+        ("فقط الف ومائتان وخمسون ريال سعودي لا غير", 125000),
+        ("ثلاثمائة وخمسة عشر ألفا", None),
+        ("المبلغ ثلاثمائة ريال و خمسون هللة", 30050),
+        ("خمسة الاف واربعمئة وتسعون ريالا", 549000),
+        ("الفان ريال وكلمة خمس هللات", None),
+        ("كلمة خمسة غريبة ريال", None),
+        ("بلا عملة", None),
+        (None, None),
+    ],
+)
+def test_arabic_words(spark, text, hundredths):
+    assert one(spark, arabic_amount, text) == hundredths
 
 
 def test_sums(spark):
