@@ -146,21 +146,78 @@ def test_leaks(spark, sf_dir, docs, texts):
     assert bm25_wand.decontaminate(odd, table(spark, sf_dir, "benchmark")).count() == odd.count() - len(found)
 
 
+def plain_bm25(texts):
+    """Weights of each text's words as a share of its score for itself, by the formula."""
+    own = [Counter(shingles.words(t)) for t in texts]
+    df = Counter(w for c in own for w in c)
+    mean = sum(c.total() for c in own) / len(own)
+    idf = {w: np.log(1 + (len(own) - n + 0.5) / (n + 0.5)) for w, n in df.items()}
+    raw = [{w: idf[w] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * c.total() / mean)) for w, tf in c.items()} for c in own]
+    return [{w: x / sum(r.values()) for w, x in r.items()} for r in raw]
+
+
+def mixed_items(seed, n, longest):
+    rng = np.random.default_rng(seed)
+    vocabulary = [f"w{k}" for k in range(80)]
+    return rng, vocabulary, [" ".join(rng.choice(vocabulary, rng.integers(1, longest), p=np.arange(80, 0, -1) / 3240)) for _ in range(n)]
+
+
 def test_block_max_is_exact():
-    """No item above the threshold is skipped by a block's bound."""
-    rng = np.random.default_rng(5)
-    vocabulary = [f"w{k}" for k in range(60)]
-    items = [(k, " ".join(rng.choice(vocabulary, rng.integers(5, 20)))) for k in range(30)]
-    index = bm25_wand.Index(items)
-    texts = [" ".join(rng.choice(vocabulary, 40)) for _ in range(20)]
-    got = {(d, i) for d, i, _, _ in index.search(texts)}
-    stride, wanted = max(index.longest, 16), set()
+    """The search finds the pairs that plain BM25 finds, over items of mixed lengths."""
+    rng, vocabulary, items = mixed_items(5, 60, 90)
+    items = sorted(set(items))
+    weights = plain_bm25(items)
+    index = bm25_wand.Index([(k, t, len(t.split()), sorted(w), [w[x] for x in sorted(w)]) for k, (t, w) in enumerate(zip(items, weights, strict=True))])
+    texts = [" ".join(rng.choice(vocabulary, 200)) for _ in range(30)] + [f"{items[k]} and {items[k + 1]}" for k in range(20)] + ["", "none of it"]
+    got = {(d, i): s for d, i, s, _ in index.search(texts)}
+    wanted = {}
     for d, t in enumerate(texts):
         own = t.split()
-        for a in range(0, len(own), stride):
-            at = [index.terms[w] for w in set(own[a : a + 2 * stride]) if w in index.terms]
-            wanted |= {(d, i) for i in range(len(items)) if index.w[at, i].sum() >= bm25_wand.THRESHOLD}
-    assert got == wanted and wanted
+        for i, w in enumerate(weights):
+            n = len(items[i].split())
+            stride = max(16, 1 << (n - 1).bit_length())
+            least = bm25_wand.least_score(items[i], np.array(list(w.values())))
+            assert least <= bm25_wand.THRESHOLD
+            score = max((sum(w.get(x, 0) for x in set(own[a : a + 2 * stride])) for a in range(0, len(own), stride)), default=0)
+            if score >= least:
+                wanted[d, i] = score
+    assert got.keys() == wanted.keys() and len(wanted) > 60
+    assert all(abs(got[k] - wanted[k]) < 1e-4 for k in wanted)
+
+
+def test_weights_are_those_of_all_items(spark):
+    """Statistics are global: several indexes give what one gives, repeated items count once, an item may have no id."""
+    _, _, items = mixed_items(6, 40, 50)
+    items = sorted({t for t in items if len(t.split()) > 12})
+    benchmark = spark.createDataFrame([(k if k else None, t, "x") for k, t in enumerate(items)] * 2 + [(99, None, "x"), (98, " ", "x")], "item_id long, text string, term string")
+    weights = {t: w for t, w in zip(items, plain_bm25(items), strict=True)}
+    for r in bm25_wand.weighted(benchmark).collect():
+        assert r["terms"] == sorted(weights[r["text"]]) and np.allclose(r["weights"], [weights[r["text"]][t] for t in r["terms"]])
+    docs = spark.createDataFrame([(k, f"before {t} after", 0) for k, t in enumerate(items)] + [(None, items[1], 0)], "doc_id long, text string, df int")
+    one = sorted(map(str, bm25_wand.leaks(docs, benchmark).collect()))
+    assert sorted(map(str, bm25_wand.leaks(docs, benchmark, 100).collect())) == one
+    found = {(r["doc_id"], r["item_id"]) for r in bm25_wand.leaks(docs, benchmark).collect()}
+    assert {(k, k if k else None) for k in range(len(items))} | {(None, 1)} <= found
+
+
+def test_items_of_one_template(spark):
+    """60 items that share 40 words and differ in 9: texts that hold 0.8 of an item's shingles are found although its rare words are gone."""
+    rng = np.random.default_rng(8)
+    shared = [f"common{k}" for k in range(40)]
+    items = [" ".join([*shared, *(f"rare{i}x{k}" for k in range(9))]) for i in range(60)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(i, " ".join([f"p{k}" for k in rng.integers(0, 999, 30)] + items[i].split()[: 41 + i % 9] + [f"q{k}" for k in rng.integers(0, 999, 30)])) for i in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in bm25_wand.leaks(spark.createDataFrame(docs, "doc_id long, text string"), benchmark).collect()}
+    wanted = set()
+    for d, t in docs:
+        own = bm25_wand._grams(shingles.words(t))
+        for i, item in enumerate(items):
+            wanted_grams = bm25_wand._grams(shingles.words(item))
+            question, answer = bm25_wand._question_answer(item)
+            near = set(shingles.words(t))
+            if len(own & wanted_grams) >= 0.8 * len(wanted_grams) and sum(x in near for x in question) >= 0.7 * len(question) and sum(x in near for x in answer) >= 0.5 * len(answer):
+                wanted.add((d, i))
+    assert got == wanted and len(wanted) > 40
 
 
 # 5
