@@ -1,7 +1,7 @@
 """Operator 4: benchmark decontamination by a BM25 inverted index with block-max WAND.
 
 Weights are BM25 contributions under the statistics of all items (number, mean length, document frequencies), divided by the item's
-score for itself, so that 1 is a full match. Items are indexed by length class (powers of two words). A class has postings by
+score for itself, so that 1 is a full match. Items are indexed by length class (half as many words again, up to a power of two). A class has postings by
 term in order of items, the maximum of each list, and the maxima of its blocks of items. Documents are cut into overlapping passages, such that any span
 of up to a class's length lies in one of them, and each passage is a query.
 
@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +38,9 @@ THRESHOLD, CONTAINMENT, QUESTION, ANSWER = 0.6, 0.8, 0.7, 0.5
 K1, B = 1.2, 0.75
 #: Postings in one broadcast index (about 20 bytes each, besides the items' texts), and items in a block of them.
 INDEX_POSTINGS, BLOCK_ITEMS = 1_000_000, 4
-LEAST_STRIDE = 16
+LEAST_STRIDE = 64
 #: Share of the threshold that the terms before the pivot may add up to: less opens more lists and leaves fewer blocks to score.
-CLOSED = 0.4
+CLOSED = 0.25
 
 
 def _grams(tokens: list[str]) -> set[tuple]:
@@ -83,6 +83,11 @@ def least_score(text: str, weights: np.ndarray) -> float:
     return min(THRESHOLD, 1 - float(np.sort(weights)[::-1][:missing].sum())) - 1e-4
 
 
+def stride_of(n: int) -> int:
+    """Words that a passage of an item of n words may span: half as many again, up to a power of two."""
+    return max(LEAST_STRIDE, 1 << (n + n // 2 - 1).bit_length())
+
+
 class Postings:
     """Items of one length class: lists by term, their maxima, the maxima of their blocks, and terms by item."""
 
@@ -166,7 +171,7 @@ class Index:
         for k, (_, text, n, terms, weights) in enumerate(items):
             own = np.array([self.terms.setdefault(t, len(self.terms)) for t in terms], np.int64)
             weights = np.array(weights)
-            classes.setdefault(max(LEAST_STRIDE, 1 << (n - 1).bit_length()), []).append((k, own, weights, least_score(text, weights)))
+            classes.setdefault(stride_of(n), []).append((k, own, weights, least_score(text, weights)))
         self.classes = [Postings(stride, *map(list, zip(*own, strict=True)), len(self.terms)) for stride, own in sorted(classes.items())]
         self._parts: dict[int, tuple] = {}
 

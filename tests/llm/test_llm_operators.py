@@ -175,7 +175,7 @@ def test_block_max_is_exact():
         own = t.split()
         for i, w in enumerate(weights):
             n = len(items[i].split())
-            stride = max(16, 1 << (n - 1).bit_length())
+            stride = bm25_wand.stride_of(n)
             least = bm25_wand.least_score(items[i], np.array(list(w.values())))
             assert least <= bm25_wand.THRESHOLD
             score = max((sum(w.get(x, 0) for x in set(own[a : a + 2 * stride])) for a in range(0, len(own), stride)), default=0)
