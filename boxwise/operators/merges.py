@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -50,3 +53,30 @@ def out_of_order(found: DataFrame, keys: list[str]) -> DataFrame:
     after = {c: F.lead(c).over(w) for c in ("n", "page", "y", "h")}
     back = (after["n"] == F.col("n") + 1) & (after["page"] == F.col("page")) & (F.col("y") > after["y"] + F.greatest("h", after["h"]) * 0.5)
     return found.withColumn("back", F.coalesce(back, F.lit(False)))
+
+
+def present(c: Column) -> Column:
+    """Whether a text value is there: empty ones aren't, zero is."""
+    return F.coalesce(c != "", F.lit(False))
+
+
+def nested_rows(paths: DataFrame, keys: list[str], root: str, fields: list[str]) -> DataFrame:
+    """(keys, path like root[3].field, value) -> keys and root, the list of records in the order of their numbers."""
+    number = F.regexp_extract("path", rf"^{root}\[(\d+)\]\.", 1).cast("long")
+    field = F.regexp_extract("path", r"\.([^.\[\]]+)$", 1)
+    rows = paths.select(*keys, number.alias("_n"), field.alias("_f"), "value").groupBy(*keys, "_n").agg(*(F.max(F.when(F.col("_f") == f, F.col("value"))).alias(f) for f in fields))
+    held = F.array_sort(F.collect_list(F.struct("_n", *fields)))
+    return rows.groupBy(*keys).agg(F.transform(held, lambda r: F.struct(*(r[f].alias(f) for f in fields))).alias(root))
+
+
+def lookup(df: DataFrame, path: str) -> Column:
+    """The value at a dotted path with list indexes; null where the list is too short or the field unknown."""
+    at, kind = None, df.schema
+    for name, index in re.findall(r"([^.\[\]]+)(?:\[(\d+)\])?", path):
+        if not isinstance(kind, T.StructType) or name not in kind.names:
+            return F.lit(None)
+        kind = kind[name].dataType
+        at = F.col(name) if at is None else at[name]
+        if index:
+            at, kind = F.get(at, F.lit(int(index))), kind.elementType
+    return at

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxwise.operators.checks import complete_sum, missing
-from boxwise.operators.validation import attribution, fill_totals, item_checks, near, precedence, total_checks, total_status
+from boxwise.operators.validation import fill_totals, item_checks, near, total_checks, total_status
 from boxwise.plans.check_queries import ITEMS, items
 from boxwise.plans.registry import query
 

@@ -70,3 +70,15 @@ def upright(polygon: str) -> list[Column]:
     """left, top, width and height of a polygon column (array of [x, y]); nulls for none or an empty one."""
     x, y = F.transform(polygon, lambda p: F.get(p, F.lit(0))), F.transform(polygon, lambda p: F.get(p, F.lit(1)))
     return [F.array_min(x).alias("left"), F.array_min(y).alias("top"), (F.array_max(x) - F.array_min(x)).alias("width"), (F.array_max(y) - F.array_min(y)).alias("height")]
+
+
+def unwrapped(raw: Column, schema: str) -> Column:
+    """The record in a result's JSON text, as it is or under res; null for anything else."""
+    whole = F.from_json(raw, f"struct<res: struct<{schema}>>")
+    own = F.from_json(raw, f"struct<{schema}>")
+    return F.coalesce(whole["res"], F.when(F.ltrim(raw).startswith("{"), own))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of JSON lines; a line that is none gives a row of nulls."""
+    return spark.read.schema(schema).json(path)
