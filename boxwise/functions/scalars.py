@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -115,11 +116,6 @@ def compatible(c: Column) -> Column:
     return F.pandas_udf(_nfkc, "string")(c)
 
 
-def same_number(a: Column, b: Column, tolerance: float) -> Column:
-    """Both known and no further apart than the tolerance."""
-    return F.coalesce(F.abs(a - b) <= tolerance, F.lit(False))
-
-
 def close_number(a: Column, b: Column, least: int = 2, share: int = 200) -> Column:
     """Both known and no further apart than the least or than one part in so many of b, whichever is more."""
     return F.coalesce(F.abs(a - b) * share <= F.greatest(F.lit(least * share), F.abs(b)), F.lit(False))
@@ -130,3 +126,63 @@ def draft_json(c: Column, schema: str) -> Column:
     body = F.regexp_replace(F.trim(c), r"(?s)^```(?:json)?\s*(.*?)\s*```$", "$1")
     got = F.from_json(F.concat(F.lit("["), body, F.lit("]")), f"array<{schema}>", {"mode": "PERMISSIVE"})
     return F.when(F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}")) & (F.size(got) == 1), F.get(got, F.lit(0)))
+
+
+#: Arabic words that are printed joined to the word before, and month names.
+JOINED = "الوحدة|الكمية|الضريبة|السعر|المبلغ|القيمة|الصنف|الخصم|النسبة"
+MONTHS = "Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?"
+#: A printed date: numeric, the year last or first, or with the name of its month.
+PRINTED_DATE = rf"(?i)\b(?:\d{{1,2}}[-/.]\d{{1,2}}[-/.]20\d{{2}}|20\d{{2}}[-/.]\d{{1,2}}[-/.]\d{{1,2}}|\d{{1,2}}[\s-]+(?:{MONTHS})[\s-]+20\d{{2}})\b"
+EDGE = r"[ .,:;/|-]+"
+
+
+def heading_in(text: Column, phrases: list[str]) -> Column:
+    """Whether a heading holds one of the phrases, after joined Arabic words were set apart and final yeh was made one letter."""
+    apart = F.regexp_replace(F.translate(text, "ى", "ي"), rf"(?<=\S)({JOINED})", " $1")
+    out = F.lit(False)
+    for p in phrases:
+        out = out | (phrase_in(apart, p) if p.isascii() else F.contains(apart, F.lit(p)))
+    return out
+
+
+def unlabelled(text: Column, labels: list[str]) -> Column:
+    """The text without its labels (longest first; Latin ones as whole words), without separators, trimmed."""
+    out = folded(text)
+    for label in sorted(set(labels), key=lambda x: (-len(x), x)):
+        pattern = rf"(?i)(?<![A-Za-z]){re.escape(label)}(?![A-Za-z])" if re.search("[A-Za-z]", label) else re.escape(label)
+        out = F.regexp_replace(out, pattern, " ")
+    out = F.regexp_replace(out, "[/|:;_-]+", " ")
+    return F.regexp_replace(out, rf"^{EDGE}|{EDGE}$", "")
+
+
+def is_text(text: Column, labels: list[str], least: int = 3) -> Column:
+    """Whether a text can be a free-text value: letters, long enough, no run of three digits, no label in it."""
+    t = F.regexp_replace(folded(text), rf"^{EDGE}|{EDGE}$", "")
+    held = F.lit(False)
+    for label in labels:
+        held = held | phrase_in(t, label)
+    return F.coalesce((F.length(t) >= least) & t.rlike("[A-Za-z؀-ۿ]") & ~t.rlike("[0-9]{3}") & ~held, F.lit(False))
+
+
+def audited(text: Column) -> Column:
+    """Text as an audit compares it: ASCII digits, no thousands commas, lower case, single spaces."""
+    t = F.replace(F.replace(F.translate(text, PRINTED_DIGITS, ASCII_DIGITS), F.lit("٬"), F.lit("")), F.lit("٫"), F.lit("."))
+    t = F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9]{3}(?:[, .]|$))", "")
+    return F.trim(F.regexp_replace(F.replace(F.lower(t), F.lit("ß"), F.lit("ss")), r"\s+", " "))
+
+
+def is_decimal(text: Column) -> Column:
+    """Whether a token is a number with a decimal point or comma; thousands commas are allowed."""
+    t = F.trim(F.translate(text, PRINTED_DIGITS, ASCII_DIGITS))
+    t = F.replace(F.regexp_replace(t, r"(?<=[0-9]),(?=[0-9]{3}(?:[, .]|$))", ""), F.lit(","), F.lit("."))
+    return F.coalesce(t.rlike(r"^[+-]?[0-9]+\.[0-9]+$"), F.lit(False))
+
+
+def hijri(text: Column) -> Column:
+    """The first date of a year 14xx, day first."""
+    return or_null(F.regexp_extract(folded(text), r"\b([0-9]{1,2}/[0-9]{1,2}/14[0-9]{2})\b", 1))
+
+
+def clock(text: Column) -> Column:
+    """The first time of day."""
+    return or_null(F.regexp_extract(folded(text), r"\b((?:[01]?[0-9]|2[0-3]):[0-5][0-9])\b", 1))

@@ -160,3 +160,39 @@ def bidirectional(rtl: Column, left: Column, text: Column) -> Column:
     """Texts of a group joined in reading order: left-to-right ones by their left edge, then right-to-left ones from the right."""
     held = F.array_sort(F.collect_list(F.struct(rtl.alias("r"), F.when(rtl, -left).otherwise(left).alias("k"), text.alias("t"))))
     return F.array_join(F.transform(held, lambda h: h["t"]), " ")
+
+
+def chains(boxes: DataFrame, height: float) -> DataFrame:
+    """Headings of several lines: by top, a box joins the first group whose last box is less than 1.2 heights aside and less than 1.8 above it.
+
+    Which group a box joins depends on those before, so a page is one group of a Pandas function; headings are those that the caller chose."""
+
+    def chain(page):
+        page = page.sort_values(["top", "left", "ln", "pos"])
+        last: list[tuple[float, float]] = []
+        groups = []
+        for x, y in zip((page["left"] + page["width"] / 2).tolist(), (page["top"] + page["height"] / 2).tolist(), strict=True):
+            group = next((k for k, (a, b) in enumerate(last) if abs(x - a) < 1.2 * height and 0 < y - b < 1.8 * height), len(last))
+            last[group : group + 1] = [(x, y)]
+            groups.append(group)
+        return page.assign(chain=groups)[["doc_id", "page", "ln", "pos", "text", "chain"]]
+
+    return boxes.groupBy("doc_id", "page").applyInPandas(chain, "doc_id long, page int, ln int, pos int, text string, chain int")
+
+
+def straightened(boxes: DataFrame, keys: list[str], far: float = 0.15) -> DataFrame:
+    """boxes (with slope, null where not measured) and height and flat: the page's median height (20 without any), and the place down the page
+    without its median slope. Slopes of far or more don't count."""
+    page = boxes.groupBy(*keys).agg(F.coalesce(F.median(F.when(F.col("height") > 0, F.col("height"))), F.lit(20.0)).alias("_h"), F.coalesce(F.median(F.when(F.abs("slope") < far, F.col("slope"))), F.lit(0.0)).alias("_s"))
+    flat = F.col("top") + F.col("height") / 2 - F.col("_s") * (F.col("left") + F.col("width") / 2)
+    return boxes.join(page, keys).withColumn("flat", flat).withColumnRenamed("_h", "usual").withColumnRenamed("_s", "skew")
+
+
+def nearest_match(labels: Column, left: Column, width: Column, text: Column, pattern: str) -> Column:
+    """The match of the pattern in a box's text that stands closest to a place: a match lies at the share of the box's width that its middle has in the
+    text. struct<apart, at, m>, null without a match."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    placed = F.transform(found, lambda m, k: F.struct((F.length(F.array_join(F.slice(gaps, 1, k + 1), "")) + F.length(F.array_join(F.slice(found, 1, k), ""))).alias("at"), m.alias("m")))
+    middle = lambda p: left + width * (2 * p["at"] + F.length(p["m"])) / 2 / F.greatest(F.length(text), F.lit(1))
+    return F.array_min(F.transform(placed, lambda p: F.struct(F.abs(middle(p) - labels).alias("apart"), p["at"].alias("at"), p["m"].alias("m"))))

@@ -22,11 +22,6 @@ def anchored(left: DataFrame, right: DataFrame, keys: list[str], both: bool = Tr
     return own.join(found, keys)
 
 
-def filled(own: Column, other: Column) -> Column:
-    """The own value, else the other's."""
-    return F.coalesce(own, other)
-
-
 def outcome(own: Column, other: Column) -> Column:
     """How two drafts of a value agree."""
     return F.when(own.isNull() & other.isNull(), "missing").when(own.isNull(), "filled").when(other.isNull(), "kept").when(own == other, "agreed").otherwise("conflict")

@@ -50,17 +50,13 @@ def text_boxes(docs: DataFrame) -> DataFrame:
 
 
 def payload_boxes(spark: SparkSession, path: str) -> DataFrame:
-    """Boxes of saved payloads (one JSON document a file): doc_id is the file, an absent source is plain recognition."""
-    files = spark.read.schema(PAYLOAD).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+    """Boxes of saved payloads (one JSON document a file, at any depth): doc_id is the file, an absent source is plain recognition."""
+    files = spark.read.schema(PAYLOAD).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[jJ][sS][oO][nN]").json(path)
     page = files.select(F.input_file_name().alias("doc_id"), F.posexplode_outer("pages").alias("at", "p"))
     box = page.select("doc_id", F.coalesce("p.page", F.col("at") + 1).alias("page"), F.posexplode("p.words").alias("seq", "b"))
     return box.select("doc_id", "page", "seq", "b.*").withColumn("source", F.coalesce("source", F.lit("ocr")))
 
 
-def middle(boxes: DataFrame) -> DataFrame:
-    return boxes.withColumn("cx", F.col("left") + F.col("width") / 2).withColumn("cy", F.col("top") + F.col("height") / 2)
-
-
 def numbered(boxes: DataFrame) -> DataFrame:
     """Reading order within a document, from 1."""
     return boxes.withColumn("seq", F.row_number().over(W.partitionBy("doc_id").orderBy("page", "ln", "pos")))

@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from boxwise.functions import scalars as S
 from boxwise.operators.corpus import hash_split
-from boxwise.operators.geometry import kept_apart, nearest, row_clusters, same_ink
+from boxwise.operators.geometry import chains, kept_apart, nearest, nearest_match, row_clusters, same_ink
 
 BOX = "doc_id long, page int, ln int, pos int, text string, left int, top int, width int, height int, confidence int, source string"
 
@@ -73,3 +74,25 @@ def test_two_groups_are_too_few(spark):
 def test_kept_apart(spark):
     got = spark.range(1).select(kept_apart(F.array(*(F.lit(x).cast("long") for x in (0, 5, 11, 12, 30))), 10).alias("s")).first()["s"]
     assert (got["n"], got["last"]) == (3, 30)
+
+
+def test_chains_of_headings(spark):
+    rows = jumbled(80, 11)
+    got = {(r["ln"], r["pos"]): r["chain"] for r in chains(spark.createDataFrame(rows, BOX), 20.0).collect()}
+    groups: list[list[tuple[float, float]]] = []
+    for r in sorted(rows, key=lambda r: (r[6], r[5], r[2], r[3])):
+        x, y = r[5] + r[7] / 2, r[6] + r[8] / 2
+        own = next((g for g in groups if abs(x - g[-1][0]) < 24 and 0 < y - g[-1][1] < 36), None)
+        if own is None:
+            own = []
+            groups.append(own)
+        own.append((x, y))
+        assert got[r[2], r[3]] == next(k for k, g in enumerate(groups) if g is own)
+    assert 10 < len(groups) < 80
+
+
+def test_nearest_match(spark):
+    text = "1/2/2024 or 3-Mar-2025 or 2023.4.5"
+    rows = spark.createDataFrame([(x, text) for x in (0, 160, 400)] + [(0, "no date"), (0, "")], "x int, t string")
+    found = nearest_match(F.col("x"), F.lit(0), F.lit(400), F.col("t"), S.PRINTED_DATE)
+    assert [r["m"] and r["m"]["m"] for r in rows.select(found.alias("m")).collect()] == ["1/2/2024", "3-Mar-2025", "2023.4.5", None, None]
