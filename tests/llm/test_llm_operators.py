@@ -397,6 +397,79 @@ def test_bpe(spark, docs):
     assert own.decode(own.ids("it's <|endoftext|> ü")) == "it's <|endoftext|> ü"
 
 
+# 3, against a decoder of its own
+def slow_frame(jpeg):
+    """Coefficients of a JPEG frame by walking its segments and bits one at a time: tables from DHT, differences of the first ones, restarts."""
+    at, tables, rows, cols, bits = 2, {}, 0, 0, ""
+    while True:
+        marker, n = jpeg[at + 1], int.from_bytes(jpeg[at + 2 : at + 4], "big")
+        body = jpeg[at + 4 : at + 2 + n]
+        if marker == 0xC0:
+            rows, cols = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+        if marker == 0xC4:
+            code, k, table = 0, 17, {}
+            for length in range(1, 17):
+                for _ in range(body[length]):
+                    table[f"{code:0{length}b}"] = body[k]
+                    code, k = code + 1, k + 1
+                code *= 2
+            tables[body[0]] = table
+        at += 2 + n
+        if marker == 0xDA:
+            break
+    data, blocks = jpeg[at:-2], []
+    parts, k, held = [], 0, b""
+    while k < len(data):
+        if data[k] == 0xFF and data[k + 1] == 0:
+            held, k = held + b"\xff", k + 2
+        elif data[k] == 0xFF:
+            parts, held, k = [*parts, held], b"", k + 2
+        else:
+            held, k = held + data[k : k + 1], k + 1
+    for part in [*parts, held]:
+        bits, place, dc = "".join(f"{b:08b}" for b in part), 0, 0
+
+        def symbol(table):
+            nonlocal place
+            end = place + 1
+            while bits[place:end] not in table:
+                end += 1
+            found, place = table[bits[place:end]], end
+            return found
+
+        def number(size):
+            nonlocal place
+            raw = bits[place : place + size]
+            place += size
+            return 0 if not size else int(raw, 2) if raw[0] == "1" else int(raw, 2) - (1 << size) + 1
+
+        while len(bits) - place >= 8 and len(blocks) < (rows // 8) * (cols // 8):
+            dc += number(symbol(tables[0x00]))
+            block = [dc]
+            while len(block) < 64:
+                s = symbol(tables[0x10])
+                if s == 0:
+                    break
+                block += [0] * (s >> 4) + [number(s & 15)]
+            blocks.append(block + [0] * (64 - len(block)))
+    return rows, cols, blocks
+
+
+def test_frames_against_a_slow_decoder():
+    """Every frame's coefficients, read bit by bit, give the payload; pixels agree with the cosine sums."""
+    payload = avi_media.pad(bytes(range(256)) * 5 + "déjà vu".encode())
+    frames, length = avi_media.read_frames(avi_media.write_avi(payload))
+    got = b""
+    for f in frames:
+        rows, cols, blocks = slow_frame(f)
+        height, width, coded = avi_media.decode_frame(f)
+        assert (height, width) == (rows, cols)
+        raw = bytes(c & 0xFF if c >= 0 else (c + 255) & 0xFF for b in blocks for c in b)
+        assert len(raw) >= len(coded) and all(128 <= abs(c) <= 255 for b in blocks for c in b[:1])
+        got += coded
+    assert got[:length] == payload
+
+
 # 10
 def test_interleave(spark, docs):
     for df, n in ((docs, docs.count()), (frame(spark, ODD), len(ODD)), (frame(spark, ODD).limit(0), 0)):
@@ -416,6 +489,21 @@ def test_interleave(spark, docs):
     assert sorted(map(tuple, interleave.interleaved(docs).collect())) == sorted(map(tuple, interleave.interleaved(docs.repartition(5)).collect()))
 
 
+def test_a_third_of_the_rows_are_one_row(spark):
+    """Equal rows are spread over the shards like others, whatever partitions they are read in, and fall into many ranges."""
+    rows = [(7, "again and again")] * 3000 + [(None, "no id")] * 50 + [(k, f"text {k}") for k in range(100, 6100)]
+    df = spark.createDataFrame([(i, t, "a" if i == 7 else "b") for i, t in rows], "doc_id long, text string, source string")
+    one, two = interleave.interleaved(df.repartition(7)).collect(), interleave.interleaved(df.repartition(3)).collect()
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["shard"], r["slot"])
+    assert sorted(one, key=key) == sorted(two, key=key) and len(one) == len(rows)
+    counts = Counter(r["shard"] for r in one)
+    assert set(counts.values()) <= {len(rows) // 8, len(rows) // 8 + 1}
+    assert all(sorted(r["slot"] for r in one if r["shard"] == s) == list(range(c)) for s, c in counts.items())
+    assert all(abs(sum(r["doc_id"] == 7 and r["shard"] == s for r in one) - 375) <= 2 for s in range(8))
+    read = df.repartition(7).select("doc_id", F.lit(5).alias("size"), F.lit(1).cast("long").alias("text_crc32"), F.lit("s").alias("stratum"), F.spark_partition_id().alias("part")).where("doc_id = 7")
+    assert sorted(r["copy"] for r in interleave._numbered(read).collect()) == list(range(1, 3001))
+
+
 @pytest.mark.parametrize("name", list(Q.ORACLE_SQL))
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_same_as_sql(spark, name, size):
