@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import cut, drop, mapped, row_key, small, text_blocks, without
+from boxwise.llm.common import cut, drop, mapped, small, text_blocks, text_key, without
 from boxwise.llm.shingles import WORDS, WORD, words
 
 THRESHOLD, CONTAINMENT, QUESTION, ANSWER = 0.6, 0.8, 0.7, 0.5
@@ -262,5 +262,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, postings: int = INDEX_POSTINGS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item; rows without an id are judged one by one."""
-    return without(docs, cut(leaks(docs.withColumn("doc_id", row_key()), benchmark).select("doc_id").distinct(), "leaks"))
+    """The documents that hold no benchmark item; each row is judged by its text, whatever its id."""
+    return without(docs, cut(leaks(docs.withColumn("doc_id", text_key()), benchmark).select("doc_id").distinct(), "leaks"), text_key())

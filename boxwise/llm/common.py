@@ -108,11 +108,16 @@ def row_key() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), unnamed(F.xxhash64(or_empty(F.col("text").cast("string")))))
 
 
-def without(docs: DataFrame, lost: DataFrame) -> DataFrame:
-    """docs without the rows whose row_key() is among the doc_id of lost; the columns stay as they are."""
+def text_key() -> Column:
+    """A number that follows from the text alone, so that what is judged by its text is judged row by row."""
+    return F.xxhash64(or_empty(F.col("text").cast("string")))
+
+
+def without(docs: DataFrame, lost: DataFrame, key: Column) -> DataFrame:
+    """docs without the rows whose key is among the doc_id of lost; the columns stay as they are."""
     row = fresh(docs, "row")
     gone = lost.select(F.col("doc_id").alias(row))
-    return docs.withColumn(row, row_key()).join(small(gone), row, "left_anti").select([f"`{c}`" for c in docs.columns])
+    return docs.withColumn(row, key).join(small(gone), row, "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -4,8 +4,8 @@ Inputs of a score are the text alone: hashed words, hashed word shapes, structur
 (lengths in bytes, words and lines). score = sigmoid(w0 + x.w + 1/2 sum_f ((x.V_f)^2 - x^2.V_f^2)), the sum-of-squares identity, so it is
 linear in the number of inputs. Labels are learnt from at most TRAIN_ROWS labelled rows, those with the least md5 of their id.
 
-Edge cases: a null text is an empty text and is scored; an id that repeats in the labels has its least label; rows without an id
-are scored, never learnt from; without any label all scores are 0.5; further columns are ignored."""
+Edge cases: a null text is an empty text and is scored; an id that repeats in the labels has its least label, one that repeats in the
+documents is learnt from its least text; rows without an id are scored, never learnt from; without any label all scores are 0.5; further columns are ignored."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxwise.llm.common import cut, mapped, row_key, text_blocks, without
+from boxwise.llm.common import cut, mapped, or_empty, text_blocks, text_key, without
 
 #: Bound on the labelled rows that are learnt from.
 TRAIN_ROWS = 6000
@@ -154,7 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             x = features(texts, places).astype(np.float16)
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(quality, pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    got = docs.select(F.col("doc_id").cast("long"), or_empty(F.col("text").cast("string")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).select("doc_id", "text", "quality")
     got = mapped(got, run, "doc_id long, quality int, x binary")
     got = sorted({(r.doc_id, r.quality, bytes(r.x)) for r in got.toLocalIterator()})
     if len({q for _, q, _ in got}) < 2:
@@ -182,7 +183,6 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the model does not reject; of an id with several rows all go if one is rejected. Rows without an id
-    are judged one by one."""
-    scored = score(docs.withColumn("doc_id", row_key()), fit(docs, labels))
-    return without(docs, cut(scored.where(F.col("score") < KEEP).select("doc_id").distinct(), "rejected"))
+    """The documents that the model does not reject; each row is judged by its text, whatever its id."""
+    scored = score(docs.withColumn("doc_id", text_key()), fit(docs, labels))
+    return without(docs, cut(scored.where(F.col("score") < KEEP).select("doc_id").distinct(), "rejected"), text_key())

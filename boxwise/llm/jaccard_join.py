@@ -159,4 +159,4 @@ def keep_one(docs: DataFrame) -> DataFrame:
     An id names one document: of rows that repeat it, the one with the least text is taken. Rows without an id are documents
     of their own, of which only classes without any id keep one."""
     docs = _one_row_a_key(docs)
-    return without(docs, jaccard_classes(docs.withColumn("doc_id", row_key())).where("doc_id <> class_id").select("doc_id"))
+    return without(docs, jaccard_classes(docs.withColumn("doc_id", row_key())).where("doc_id <> class_id").select("doc_id"), row_key())

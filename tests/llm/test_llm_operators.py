@@ -252,6 +252,19 @@ def test_sum_of_squares():
     assert np.isclose(m.margins(x)[0], 0.3 + x[0] @ m.w + pairs)
 
 
+def test_quality_without_or_with_odd_labels(spark, docs):
+    """No label or one class: all scores 0.5; an id that repeats, in labels or documents, counts once; further columns don't matter."""
+    some = docs.limit(60)
+    labels = some.select("doc_id", F.lit(1).alias("quality"), F.lit("x").alias("score"))
+    for known in (labels.limit(0), labels):
+        assert {r["score"] for r in fm_quality.judged(some, known).collect()} == {0.5}
+    two = labels.withColumn("quality", (F.col("doc_id") % 2).cast("int"))
+    again = some.unionByName(some.withColumn("text", F.concat("text", F.lit("~ later text of the same id"))))
+    one, other = fm_quality.fit(some, two), fm_quality.fit(again, two.unionByName(two))
+    assert np.array_equal(one.w, other.w) and one.w.any()
+    assert fm_quality.judged(some.limit(0), two).count() == 0
+
+
 def test_held_out_labels_are_not_learnt(spark, docs, sf_dir):
     labels = table(spark, sf_dir, "labels")
     turned = labels.withColumn("quality", F.when(fm_quality.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -329,6 +342,13 @@ def test_recall_and_components(spark):
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def test_components_of_a_hub(spark):
+    """A node of more edges than are joined in one task, in the middle of its neighbours, and a chain that hangs on one of them."""
+    edges = [(5000, k) for k in range(3000)] + [(5000, k) for k in range(6000, 9000)] + [(9000 + k, 8999 + k) for k in range(10)] + [(20000, 20001)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys({x for e in edges[:-1] for x in e}, 0) | {20000: 20000, 20001: 20000}
+
+
 # 7
 def test_chunks_resist_shifts():
     text = LONG[:20_000].encode()
