@@ -15,10 +15,10 @@ def dominant(rows: DataFrame, keys: list[str], value: str, weight: Column, per_c
     return best.select(*keys, "total", "top", F.when(F.col("top") * 100 >= F.col("total") * per_cent, F.col("_v")).alias("dominant"))
 
 
-def draft_score(chosen: Column, missing: Column, valid: Column) -> Column:
-    """Orders drafts: free of review first, then by valid rows, then by fewer gaps. An aggregate over the rows of all drafts."""
-    gaps = F.count_if(chosen & missing)
-    return F.struct((gaps == 0).cast("int").alias("clean"), F.count_if(chosen & F.coalesce(valid, F.lit(False))).alias("valid"), (-gaps).alias("gaps"))
+def draft_score(review: Column, checks: list[Column], valid_rows: Column, gaps: Column, issues: Column) -> Column:
+    """Orders drafts: free of review first, then by checks that are true, by valid rows, by fewer gaps and by fewer evidence issues."""
+    true = sum((F.coalesce(c, F.lit(False)).cast("long") for c in checks), F.lit(0).cast("long"))
+    return F.struct((~review).cast("int").alias("clean"), true.alias("checks"), valid_rows.alias("valid"), (-gaps).alias("gaps"), (-issues).alias("issues"))
 
 
 def repaired(own: Column, candidate: Column, confidence: Column, least: int = 95) -> Column:

@@ -41,20 +41,21 @@ def first_label_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(*KEY, "field", F.col("v.l_ln").cast("long").alias("ln"), F.col("v.l_pos").cast("long").alias("pos"), F.col("v.value").alias("value"))
 
 
-@query(BOXES + """, c AS (SELECT doc_id, page, ln, x // 400 AS col, max(text) AS text FROM boxes WHERE length(text) >= 10 AND x < 800 GROUP BY 1, 2, 3, 4 HAVING count(*) = 1),
-r AS (SELECT doc_id, page, ln, max(CASE WHEN col = 0 THEN text END) AS one, max(CASE WHEN col = 1 THEN text END) AS two FROM c GROUP BY 1, 2, 3 HAVING count(*) = 2)
-SELECT doc_id, page, max(ln) AS ln, max(one) AS one, max(two) AS two FROM r GROUP BY 1, 2 HAVING count(*) = 1""")
+@query(BOXES + """, c AS (SELECT doc_id, page, ln, x // 400 AS col, count(*) AS c, max(text) AS text FROM boxes WHERE length(text) >= 10 GROUP BY 1, 2, 3, 4),
+n AS (SELECT doc_id, page, count(DISTINCT col) AS n_columns FROM c GROUP BY 1, 2),
+r AS (SELECT doc_id, page, ln, list(text ORDER BY col) AS held FROM c JOIN n USING (doc_id, page) GROUP BY 1, 2, 3, n_columns HAVING max(c) = 1 AND count(*) = n_columns)
+SELECT doc_id, page, max(ln) AS ln, max(held[1]) AS one, max(held[2]) AS two, max(array_to_string(held[3:], ',')) AS rest FROM r GROUP BY 1, 2 HAVING count(*) = 1""")
 def unique_full_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one row of a page with exactly one value in every column that has any on the page; nothing if there are several or none.
 
-    A column is 400 wide. one and two are the values of the first two columns, rest those of the others."""
+    A column is 400 wide. one and two are the values of the first two columns, rest those of the others, comma-joined."""
     b = boxes(spark, sf_dir).where("length(text) >= 10").withColumn("col", F.expr("left div 400"))
     cells = b.groupBy(*KEY, "ln", "col").agg(F.count("*").alias("c"), F.max("text").alias("text"))
     columns = cells.select(*KEY, "col").distinct().groupBy(*KEY).agg(F.count("*").alias("n_columns"))
     held = F.array_sort(F.collect_list(F.struct("col", "text")))
     rows = cells.groupBy(*KEY, F.col("ln").cast("long").alias("ln")).agg(F.count("*").alias("n"), F.max("c").alias("most"), F.transform(held, lambda h: h["text"]).alias("held"))
     full = rows.join(columns, KEY).where("most = 1 and n = n_columns")
-    full = full.select(*KEY, "ln", F.get("held", F.lit(0)).alias("one"), F.get("held", F.lit(1)).alias("two"), F.slice("held", 3, F.greatest(F.size("held") - 2, F.lit(0))).alias("rest"))
+    full = full.select(*KEY, "ln", F.get("held", F.lit(0)).alias("one"), F.get("held", F.lit(1)).alias("two"), F.array_join(F.slice("held", 3, F.greatest(F.size("held") - 2, F.lit(0))), ",").alias("rest"))
     return unique_by(full, KEY, ln="ln", one="one", two="two", rest="rest")
 
 
@@ -170,15 +171,26 @@ def close_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return printed(spark, sf_dir).join(sums, "o_orderkey", "left").select("o_orderkey", F.coalesce(F.abs(p - s) <= 1, F.lit(False)).alias("same"), close_number(p, s).alias("near"))
 
 
+SIDE = """count_if({w}) AS n{i}, count_if({w} AND gap) AS g{i}, count_if({w} AND valid) AS v{i}, count_if({w} AND partkey % 5 = 0) AS i{i}, (CASE WHEN count(a) FILTER (WHERE {w}) = count_if({w}) AND abs(sum(a) FILTER (WHERE {w}) - sum(e) FILTER (WHERE {w})) <= 2 THEN 1 ELSE 0 END + CASE WHEN coalesce(sum(v) FILTER (WHERE {w}) > 500000, false) THEN 1 ELSE 0 END + CASE WHEN coalesce(abs(sum(a + v - g) FILTER (WHERE {w})) <= 2, false) THEN 1 ELSE 0 END) AS c{i}"""
+
+
 @query(ITEMS + """, f AS (SELECT *, q IS NULL OR a IS NULL AS gap, coalesce(abs(a + v - g) <= 2, false) AS valid FROM items),
-s AS (SELECT l_orderkey, count_if(n <= 4) AS n1, count_if(n > 2) AS n2, count_if(n <= 4 AND gap) AS g1, count_if(n > 2 AND gap) AS g2, count_if(n <= 4 AND valid) AS v1, count_if(n > 2 AND valid) AS v2 FROM f GROUP BY 1)
-SELECT l_orderkey, n1, n2, CASE WHEN n2 >= n1 AND ((g2 = 0)::INT, v2, -g2) >= ((g1 = 0)::INT, v1, -g1) THEN 'second' ELSE 'first' END AS winner FROM s""")
+s AS (SELECT l_orderkey, """ + SIDE.format(w="n <= 4", i=1) + ", " + SIDE.format(w="n > 2", i=2) + """ FROM f GROUP BY 1)
+SELECT l_orderkey, n1, n2, CASE WHEN n2 >= n1 AND ((g2 = 0)::INT, c2, v2, -g2, -i2) >= ((g1 = 0)::INT, c1, v1, -g1, -i1) THEN 'second' ELSE 'first' END AS winner FROM s""")
 def draft_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second draft wins only with as many rows and a score as good; both are scored in one pass."""
-    one, two = F.col("n") <= 4, F.col("n") > 2
-    gap, valid = F.col("q").isNull() | F.col("a").isNull(), F.abs(F.col("a") + F.col("v") - F.col("g")) <= 2
-    s = items(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(one).alias("n1"), F.count_if(two).alias("n2"), draft_score(one, gap, valid).alias("s1"), draft_score(two, gap, valid).alias("s2"))
-    return s.select("l_orderkey", "n1", "n2", F.when((F.col("n2") >= F.col("n1")) & (F.col("s2") >= F.col("s1")), "second").otherwise("first").alias("winner"))
+    c = F.col
+    gap, valid = c("q").isNull() | c("a").isNull(), F.coalesce(F.abs(c("a") + c("v") - c("g")) <= 2, F.lit(False))
+
+    def score(own):
+        total = lambda x: F.sum(F.when(own, x))
+        n, gaps = F.count_if(own), F.count_if(own & gap)
+        checks = [(F.count(F.when(own, c("a"))) == n) & (F.abs(total(c("a")) - total(c("e"))) <= 2), total(c("v")) > 500_000, F.abs(total(c("a") + c("v") - c("g"))) <= 2]
+        return draft_score(gaps > 0, checks, F.count_if(own & valid), gaps, F.count_if(own & (c("partkey") % 5 == 0)))
+
+    one, two = c("n") <= 4, c("n") > 2
+    s = items(spark, sf_dir).groupBy("l_orderkey").agg(F.count_if(one).alias("n1"), F.count_if(two).alias("n2"), score(one).alias("s1"), score(two).alias("s2"))
+    return s.select("l_orderkey", "n1", "n2", F.when((c("n2") >= c("n1")) & (c("s2") >= c("s1")), "second").otherwise("first").alias("winner"))
 
 
 @query(ITEMS + """, t AS (SELECT l_orderkey AS k, CAST(sum(e) AS BIGINT) AS s, CAST(sum(v) AS BIGINT) AS v FROM items GROUP BY 1), u AS (SELECT *, CASE WHEN k % 4 <> 0 THEN s + v END AS net, CASE WHEN k % 4 <> 1 THEN v END AS vat FROM t),

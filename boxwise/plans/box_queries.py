@@ -72,14 +72,15 @@ def greedy_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(kept.alias("a")).select("user_id", "a.n", "a.last")
 
 
-@query(BOXES + "SELECT doc_id, ln, pos, (lag(x) OVER w1 + x) / 2 AS lo, (lead(x) OVER w1 + x) / 2 AS hi FROM boxes WHERE ln % 4 = 0 WINDOW w1 AS (PARTITION BY doc_id, ln ORDER BY x)")
+@query(BOXES + "SELECT doc_id, ln, pos, (lag(x) OVER w1 + x) / 2 AS lo, (lead(x) OVER w1 + x) / 2 AS hi FROM boxes WINDOW w1 AS (PARTITION BY doc_id, ln ORDER BY x)")
 def column_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _typed(boxes(spark, sf_dir))
     return midpoints(b, ["doc_id", "ln"], "x").select("doc_id", "ln", "pos", "lo", "hi")
 
 
-@query(BOXES + """, heads AS (SELECT doc_id, page, pos AS col, (lag(x) OVER w1 + x) / 2 AS lo, (lead(x) OVER w1 + x) / 2 AS hi FROM (SELECT b.* FROM boxes b WHERE ln % 40 = 0 AND pos < 8) WINDOW w1 AS (PARTITION BY doc_id, page ORDER BY x))
-SELECT b.doc_id, b.ln, b.pos, h.col FROM boxes b JOIN heads h ON b.doc_id = h.doc_id AND b.page = h.page AND (h.lo IS NULL OR b.x >= h.lo) AND (h.hi IS NULL OR b.x < h.hi) WHERE b.ln % 40 BETWEEN 1 AND 3""")
+@query(BOXES + """, heads AS (SELECT doc_id, page, pos AS col, coalesce((lag(x) OVER w1 + x) / 2, -1) AS lo FROM boxes WHERE ln % 40 = 0 WINDOW w1 AS (PARTITION BY doc_id, page ORDER BY x)),
+body AS (SELECT * FROM boxes WHERE ln % 40 > 0)
+SELECT b.doc_id, b.ln, b.pos, h.col FROM body b ASOF JOIN heads h ON b.doc_id = h.doc_id AND b.page = h.page AND b.x >= h.lo""")
 def column_bucket_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _typed(boxes(spark, sf_dir))
     heads = midpoints(b.where("ln % 40 = 0"), KEY, "x").select(*KEY, F.col("pos").alias("col"), "lo")
@@ -190,7 +191,7 @@ def coverage_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy(*KEY).agg(F.count("*").alias("n")).join(gone, KEY, "left").select(*KEY, "n", F.coalesce("unassigned", zero).alias("unassigned"), F.coalesce("faint", zero).alias("faint"))
 
 
-@query(BOXES + """, need AS (SELECT doc_id, unnest([(doc_id % 7)::INT + 2, (doc_id % 5)::INT + 9]) AS len FROM documents) SELECT n.doc_id, count(DISTINCT n.len) AS wanted, count(DISTINCT CASE WHEN b.doc_id IS NOT NULL THEN n.len END) AS found FROM need n LEFT JOIN (SELECT DISTINCT doc_id, length(text) AS len FROM boxes WHERE ln < 3) b ON n.doc_id = b.doc_id AND n.len = b.len GROUP BY 1""")
+@query(BOXES + """, need AS (SELECT doc_id, unnest([(doc_id % 7)::INT + 2, (doc_id % 5)::INT + 9]) AS len FROM documents) SELECT n.doc_id, count(DISTINCT n.len) AS wanted, count(DISTINCT CASE WHEN b.doc_id IS NOT NULL THEN n.len END) AS found FROM need n LEFT JOIN (SELECT DISTINCT doc_id, length(text) AS len FROM boxes) b ON n.doc_id = b.doc_id AND n.len = b.len GROUP BY 1""")
 def address_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many of the tokens that a document needs stand anywhere in it; its texts hold no anchors that would bound an interval."""
     docs = table(spark, sf_dir, "documents")
@@ -199,7 +200,7 @@ def address_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     return need.join(have, ["doc_id", "len"], "left").groupBy("doc_id").agg(F.count("*").alias("wanted"), F.count("here").alias("found"))
 
 
-@query(BOXES + """SELECT b.doc_id, b.page, b.ln, b.pos FROM boxes b WHERE b.conf < 70 AND b.ln % 40 > 0 AND NOT EXISTS (SELECT 1 FROM boxes o WHERE o.doc_id = b.doc_id AND o.page = b.page AND o.text = b.text AND o.conf >= 70 AND abs(o.x - b.x) <= 400 AND abs(o.y - b.y) <= 60)""")
+@query(BOXES + """SELECT b.doc_id, b.page, b.ln, b.pos FROM boxes b WHERE b.conf < 70 AND NOT EXISTS (SELECT 1 FROM boxes o WHERE o.doc_id = b.doc_id AND o.page = b.page AND o.text = b.text AND o.conf >= 70 AND abs(o.x - b.x) <= 400 AND abs(o.y - b.y) <= 60)""")
 def spatial_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faint boxes without a sure box of the same text close by."""
     b = _typed(boxes(spark, sf_dir))

@@ -23,10 +23,12 @@ def _placed(df: DataFrame) -> DataFrame:
     return df.select(*KEY, F.col("ln").cast("long").alias("ln"), F.col("pos").cast("long").alias("pos"), "text", F.col("left").cast("long").alias("x"), F.col("top").cast("long").alias("y"), F.col("confidence").alias("conf"))
 
 
-@query(BOXES + """, h AS (SELECT doc_id, page, pos AS col, x AS hx FROM boxes WHERE ln % 40 = 0 AND pos < 8),
+@query(BOXES + """, h AS (SELECT doc_id, page, pos AS col, x AS hx FROM boxes WHERE ln % 40 = 0),
 g AS (SELECT *, least(coalesce(hx - lag(hx) OVER w1, 100000), coalesce(lead(hx) OVER w1 - hx, 100000)) AS gap FROM h WINDOW w1 AS (PARTITION BY doc_id, page ORDER BY hx)),
-m AS (SELECT b.doc_id, b.ln, b.pos, g.col, gap, abs(b.x - hx) AS d FROM boxes b JOIN g ON b.doc_id = g.doc_id AND b.page = g.page WHERE b.ln % 40 BETWEEN 1 AND 3),
-t AS (SELECT *, min(d) OVER (PARTITION BY doc_id, ln, pos) AS near FROM m)
+body AS (SELECT doc_id, page, ln, pos, x FROM boxes WHERE ln % 40 > 0),
+l AS (SELECT b.*, g.col, gap, b.x - hx AS d FROM body b ASOF JOIN g ON b.doc_id = g.doc_id AND b.page = g.page AND b.x >= g.hx),
+r AS (SELECT b.*, g.col, gap, hx - b.x AS d FROM body b ASOF JOIN g ON b.doc_id = g.doc_id AND b.page = g.page AND b.x < g.hx),
+m AS (SELECT * FROM l UNION ALL SELECT * FROM r), t AS (SELECT *, min(d) OVER (PARTITION BY doc_id, ln, pos) AS near FROM m)
 SELECT doc_id, ln, pos, max(col) AS col, max(d) AS d FROM t WHERE d = near GROUP BY 1, 2, 3 HAVING count(*) = 1 AND max(d) <= greatest(15, max(gap) * 58 // 100)""")
 def column_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words below the first line of a page under the heading word that is strictly closest and near enough."""
