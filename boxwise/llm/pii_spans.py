@@ -40,7 +40,7 @@ LOOSE = {
 }
 #: What a text must hold for a pattern to be tried at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"(?:[0-9][\x20-]?){12}[0-9]", "phone": r"\+[0-9]"}
-LOOSE_NEEDS = {"email": r"at[)\]]", "ip": r"[0-9A-Fa-f]:[0-9A-Fa-f:]", "phone": r"[0-9][ ).-]+[0-9]", "secret": r"[A-Za-z0-9+/_-]{20}"}
+LOOSE_NEEDS = {"email": r"at[)\]]", "ip": r":[0-9A-Fa-f:]", "phone": r"[0-9][ ).-]+[0-9]", "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20}"}
 CUES = {
     "email": r"(?i)(?:e-?mail|courriel|correo|contact|contacto|kontakt|write|reach|address)",
     "ip": r"(?i)(?:\bip|host|server|serveur|servidor|address|adresse|login|client)",
