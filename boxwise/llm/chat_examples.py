@@ -1,9 +1,8 @@
 """Operator 2: chat formatting by prefix-target expansion.
 
-Every assistant turn becomes an example: all turns before it are context, and only its reply is trainable. As each example's text is a prefix
-of its conversation's formatted text, examples are kept as deltas: an example's row holds the context that is new since the example before, its reply,
-and the places of context and reply in the whole. Turns after the last reply form a closing row without a target. So a conversation
-of n turns takes n turns of text rather than their square; texts_of() spells the examples out.
+Every assistant turn becomes an example, spelt out: the text of all turns before it and the reply, of which only the reply is under the
+mask. Turns after the last reply form a closing row without a mask. What is written grows with the square of a conversation's
+turns, as the method has it; a conversation is brought together by one window, a turn being shuffled once.
 
 The template marks turns by the tags in TAGS. Inside roles and texts the characters that tags are made of are escaped, so no text can hold a
 tag, and unescaping gives the text back.
@@ -53,61 +52,56 @@ def _closing(role: Column) -> Column:
 
 
 def examples(turns: DataFrame) -> DataFrame:
-    """conv_id, example (from 0), context (new formatted turns), target (formatted reply or null), offset (formatted characters before
-    this row), mask_start and mask_end (of the reply's text in the conversation's formatted text; null in a closing row)."""
+    """conv_id, example (from 0), text (all turns up to and with this reply, formatted), mask_start and mask_end (of the reply's text in it).
+
+    Turns after the last reply form a closing row: the whole conversation, whose mask is null."""
     role, text = or_empty(F.col("role").cast("string")), or_empty(F.col("text").cast("string"))
     rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), role.alias("role"), text.alias("text"))
-    shown = rows.select("conv_id", "turn", "role", "text", F.concat(_opening(F.col("role")), escape(F.col("text")), _closing(F.col("role"))).alias("shown"))
+    shown = rows.select("*", F.concat(_opening(F.col("role")), escape(F.col("text")), _closing(F.col("role"))).alias("shown"))
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    before = order.rowsBetween(W.unboundedPreceding, -1)
-    reply = (F.col("role") == "assistant").cast("long")
+    sofar = order.rowsBetween(W.unboundedPreceding, W.currentRow)
+    reply = F.col("role") == "assistant"
     placed = shown.select(
         "conv_id",
-        "role",
-        "shown",
-        F.row_number().over(order).alias("k"),
-        F.coalesce(F.sum(reply).over(before), F.lit(0)).alias("example"),
-        F.coalesce(F.sum(F.length("shown")).over(before), F.lit(0)).alias("at"),
+        reply.alias("reply"),
+        F.length("shown").alias("own"),
+        F.collect_list("shown").over(sofar).alias("held"),
+        F.sum(reply.cast("long")).over(sofar).alias("replies"),
+        F.lead(F.lit(False), 1, True).over(order).alias("last"),
     )
-    is_reply = F.col("role") == "assistant"
-    held = F.array_sort(F.collect_list(F.when(~is_reply, F.struct("k", "shown"))))
-    out = placed.groupBy("conv_id", "example").agg(held.alias("held"), F.max(F.when(is_reply, F.col("shown"))).alias("target"), F.min("at").alias("offset"), F.max(F.when(is_reply, F.col("at"))).alias("target_at"))
+    kept = placed.where("reply or last").select("conv_id", "reply", "own", "replies", F.array_join("held", "").alias("text"))
     start, end = (len(x) for x in TAGS[1][1:])
-    return out.select(
+    size = F.length("text")
+    return kept.select(
         "conv_id",
-        "example",
-        F.array_join(F.transform("held", lambda h: h["shown"]), "").alias("context"),
-        "target",
-        "offset",
-        (F.col("target_at") + start).alias("mask_start"),
-        (F.col("target_at") + F.length("target") - end).alias("mask_end"),
+        (F.col("replies") - F.col("reply").cast("long")).alias("example"),
+        "text",
+        F.when(F.col("reply"), size - F.col("own") + start).cast("long").alias("mask_start"),
+        F.when(F.col("reply"), size - end).cast("long").alias("mask_end"),
     )
 
 
-def texts_of(made: DataFrame) -> DataFrame:
-    """conv_id, example, text, mask_start, mask_end of every example, spelt out; grows with the square of a conversation's turns."""
-    whole = F.concat("context", F.coalesce("target", F.lit("")))
-    sofar = F.array_join(F.collect_list(whole).over(W.partitionBy("conv_id").orderBy("example")), "")
-    return made.select("conv_id", "example", sofar.alias("text"), "mask_start", "mask_end").where("mask_start is not null")
-
-
 def read_back(made: DataFrame) -> DataFrame:
-    """Turns and losses of each conversation as its examples hold them: a loss is read by its mask from the example's text with its full context."""
-    shown = F.concat("context", F.coalesce("target", F.lit("")))
+    """What the examples of each conversation hold: turns from the last, whose text is the longest, losses from each one's own mask."""
+    first, length = F.col("mask_start") + 1, F.col("mask_end") - F.col("mask_start")
+    loss = F.when(F.col("mask_start").isNotNull(), unescape(F.substr("text", first.cast("int"), length.cast("int")))).otherwise(F.lit(""))
+    held = F.array_sort(F.collect_list(F.struct("example", "loss")))
+    one = made.select("conv_id", "example", "text", loss.alias("loss")).groupBy("conv_id").agg(held.alias("held"), F.max_by("text", "example").alias("whole"), F.sum(F.length("loss")).alias("loss_chars"), F.count("*").alias("n_rows"))
     tag = F.lit(TURN)
-    parts = F.arrays_zip(F.regexp_extract_all("shown", tag, F.lit(1)).alias("open"), F.regexp_extract_all("shown", tag, F.lit(2)).alias("text"))
-    sofar = F.array_join(F.collect_list("shown").over(W.partitionBy("conv_id").orderBy("example")), "")
-    rows = made.withColumn("shown", shown).withColumn("parts", parts).withColumn("text", sofar)
+    parts = F.arrays_zip(F.regexp_extract_all("whole", tag, F.lit(1)).alias("open"), F.regexp_extract_all("whole", tag, F.lit(2)).alias("text"))
     known = F.create_map(*(F.lit(x) for r, start, _ in TAGS for x in (start, r)))
     role = lambda o: F.coalesce(F.element_at(known, o), unescape(F.regexp_extract(o, r"(?s)^<role:(.*)>$", 1)))
     line = F.transform("parts", lambda p: F.concat(role(p["open"]), F.lit("\n"), unescape(p["text"]), F.lit("\n")))
-    first, length = F.col("mask_start") + 1, F.col("mask_end") - F.col("mask_start")
-    loss = F.when(F.col("mask_start").isNotNull(), unescape(F.substr("text", first.cast("int"), length.cast("int")))).otherwise(F.lit(""))
-    one = rows.select("conv_id", "example", F.size("parts").alias("n"), F.array_join(line, "").alias("turns"), loss.alias("loss"), F.length("shown").alias("chars"))
-    all_rows = F.array_sort(F.collect_list(F.struct("example", "turns", "loss")))
-    out = one.groupBy("conv_id").agg(F.sum("n").alias("n_turns"), all_rows.alias("held"), F.sum(F.length("loss")).alias("loss_chars"), F.sum("chars").alias("formatted_chars"), F.count("*").alias("n_rows"))
-    joined = lambda c: F.sha2(F.array_join(F.transform("held", lambda h: h[c]), ""), 256)
-    return out.select("conv_id", "n_turns", joined("turns").alias("turns_sha256"), "loss_chars", joined("loss").alias("loss_sha256"), "formatted_chars", "n_rows")
+    out = one.withColumn("parts", parts)
+    return out.select(
+        "conv_id",
+        F.size("parts").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        "loss_chars",
+        F.sha2(F.array_join(F.transform("held", lambda h: h["loss"]), ""), 256).alias("loss_sha256"),
+        F.length("whole").cast("long").alias("formatted_chars"),
+        "n_rows",
+    )
 
 
 def probe(spark: SparkSession) -> DataFrame:

@@ -97,7 +97,8 @@ def test_chat(spark):
         assert got[c]["n_turns"] == len(own)
         assert got[c]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for r, x in own))
         assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
-    spelt = {(r["conv_id"], r["example"]): r for r in chat_examples.texts_of(made).collect()}
+    spelt = {(r["conv_id"], r["example"]): r for r in made.collect()}
+    assert spelt[1, 2]["mask_start"] is None and spelt[1, 2]["text"].startswith(spelt[1, 1]["text"]) and spelt[2, 0]["mask_end"] is None
     r = spelt[1, 1]
     assert r["text"].startswith(spelt[1, 0]["text"]) and r["mask_start"] == r["mask_end"]
     assert spelt[1, 0]["text"][spelt[1, 0]["mask_start"] : spelt[1, 0]["mask_end"]] == "\\l/s\\g yes"

@@ -82,11 +82,14 @@ def test_rows_without_an_id_are_filtered_like_the_rest(spark, sf_dir):
 
 
 # 2
-def test_losses_are_read_from_full_contexts(spark):
-    """Where the first example is lost from the contexts, the later losses are no longer at their masks."""
-    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k} <s>") for k in range(8)]
+def test_every_example_holds_its_whole_context(spark):
+    turns = [(1, k, ("user", "assistant")[k % 2], f"turn {k} <s>") for k in range(9)]
     made = chat_examples.examples(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
-    whole = "".join(t for _, k, _, t in turns if k % 2)
-    assert chat_examples.read_back(made).first()["loss_sha256"] == hashlib.sha256(whole.encode()).hexdigest()
-    later = "".join(t for _, k, _, t in turns if k % 2 and k > 1)
-    assert chat_examples.read_back(made.where("example > 0")).first()["loss_sha256"] != hashlib.sha256(later.encode()).hexdigest()
+    own = sorted(made.collect(), key=lambda r: r["example"])
+    shown = [f"[INST] turn {k} \\ls\\g [/INST]" if k % 2 == 0 else f"<s>turn {k} \\ls\\g</s>" for k in range(9)]
+    assert [r["text"] for r in own] == ["".join(shown[: 2 * k + 2]) for k in range(4)] + ["".join(shown)]
+    assert [r["text"][r["mask_start"] : r["mask_end"]] for r in own[:-1]] == [f"turn {k} \\ls\\g" for k in (1, 3, 5, 7)]
+    assert own[-1]["mask_start"] is None
+    later = chat_examples.read_back(made.where("example > 0")).first()
+    assert later["loss_sha256"] == hashlib.sha256("".join(t for _, k, _, t in turns if k % 2 and k > 1).encode()).hexdigest()
+    assert later["n_turns"] == 9
